@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from loomtrace.plans import training
+from loomtrace.plans import decisions, formulation, sources, training
 
-FLAGSHIP = "p5_found"
-_MODULES = (training,)
+FLAGSHIP = "q01_tool_rate_by_month"
+_MODULES = (decisions, formulation, sources, training)
 
 
 def queries() -> dict:
