@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from loomtrace.plans import decisions, formulation, sources, training
+from loomtrace.plans import decisions, formulation, panels, sources, streams, training
 
 FLAGSHIP = "q01_tool_rate_by_month"
-_MODULES = (decisions, formulation, sources, training)
+_MODULES = (decisions, formulation, sources, panels, streams, training)
 
 
 def queries() -> dict:
