@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from loomtrace.plans import decisions, formulation, panels, sources, streams, training
+from loomtrace.plans import decisions, formulation, panels, quality, sources, streams, training
 
 FLAGSHIP = "q01_tool_rate_by_month"
-_MODULES = (decisions, formulation, sources, panels, streams, training)
+_MODULES = (decisions, formulation, sources, quality, panels, streams, training)
 
 
 def queries() -> dict:
