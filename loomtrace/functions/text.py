@@ -135,6 +135,7 @@ def answer_chunks(c: pd.Series) -> pd.Series:
 
 class _Text(HTMLParser):
     SKIP = ("script", "style", "noscript", "template")
+    INLINE = frozenset(("a", "abbr", "b", "cite", "code", "em", "font", "i", "mark", "small", "span", "strong", "sub", "sup", "u", *SKIP))
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -142,11 +143,11 @@ class _Text(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         self.skip += tag in self.SKIP
-        self.parts.append("\n")
+        self.parts.append("" if tag in self.INLINE else "\n")
 
     def handle_endtag(self, tag):
         self.skip -= tag in self.SKIP and self.skip > 0
-        self.parts.append("\n")
+        self.parts.append("" if tag in self.INLINE else "\n")
 
     def handle_data(self, data):
         if not self.skip:

@@ -148,8 +148,10 @@ def resolve_topic(labels: list | None, per_turn: list | None) -> str:
 
 
 def attach_topics(turns: DataFrame, topics: DataFrame) -> DataFrame:
-    """Left join of conversation topics; missing ones are Other. ``topics`` holds one row per conversation, the last on repeats."""
+    """Left join of conversation topics; missing ones are Other. Of repeated conversations the row
+    with the highest ``ord`` holds, without that column the greatest topic."""
     from loomtrace.functions.coerce import or_other
 
-    one = topics.groupBy("conv_id").agg(F.max_by("topic", F.monotonically_increasing_id()).alias("topic")) if "ord" not in topics.columns else topics.groupBy("conv_id").agg(F.max_by("topic", "ord").alias("topic"))
+    last = F.max_by("topic", "ord") if "ord" in topics.columns else F.max("topic")
+    one = topics.groupBy("conv_id").agg(last.alias("topic"))
     return turns.drop("topic").join(one, "conv_id", "left").withColumn("topic", or_other(F.col("topic")))

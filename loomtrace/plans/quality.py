@@ -134,7 +134,7 @@ def f33_markup_regex(spark, d):
     """Length of texts without tags and character entities, by pattern."""
     p = table(spark, d, "documents").filter("text is not null")
     plain = F.regexp_replace(F.regexp_replace("text", r"<[^<>]*>", " "), r"&[a-z]+;", " ")
-    return p.select("doc_id", F.length(F.trim(F.regexp_replace(plain, r"[ \t\n]+", " "))).alias("chars"))
+    return p.select("doc_id", F.length(F.regexp_replace(F.regexp_replace(plain, r"[ \t\n]+", " "), "^ +| +$", "")).alias("chars"))
 
 
 def f25_citation_marks(spark, d):
@@ -170,7 +170,7 @@ ORACLES = {
     "q43_rank_by_kind": with_(SOURCES, "c AS (SELECT DISTINCT row_id, " + KEY.format("url") + " AS key FROM cited)", "r AS (SELECT r.row_id, ref_index + 1 AS rank, c.key IS NOT NULL AS c FROM retrieved r LEFT JOIN c ON c.row_id = r.row_id AND c.key = " + KEY.format("r.url") + " WHERE ref_index >= 0)", "g AS (SELECT row_id, avg(rank) FILTER (WHERE c) AS a, avg(rank) FILTER (WHERE NOT c) AS b FROM r GROUP BY 1)") + "SELECT count(*) AS n, round(avg(a), 6) AS cited, round(avg(b), 6) AS other, count(*) FILTER (WHERE a < b) AS cited_better FROM g WHERE a IS NOT NULL AND b IS NOT NULL",
     "q47_support_by_kind": with_(TURNS, SOURCES.replace("ev ->> '$.title' AS title,", "ev ->> '$.title' AS title, ev ->> '$.snippet' AS snippet,").replace("e, ev ->> '$.url', ev ->> '$.title',", "e, ev ->> '$.url', ev ->> '$.title', ev ->> '$.snippet',"), "c AS (SELECT DISTINCT row_id, " + KEY.format("url") + " AS key FROM cited)", "r AS (SELECT DISTINCT row_id, " + KEY.format("url") + " AS key, snippet FROM retrieved WHERE snippet <> '')", f"a AS (SELECT row_id, list_distinct({_TOK.format('answers[-1]')}) AS a FROM turns)") + f"SELECT c.key IS NOT NULL AS cited, count(*) AS n, round(avg(len(list_filter(a, lambda x: list_contains({_TOK.format('snippet')}, x))) / len(a)), 6) AS share FROM r JOIN a USING (row_id) LEFT JOIN c ON c.row_id = r.row_id AND c.key = r.key WHERE len(a) > 0 GROUP BY 1",
     "q50_turn_export": "WITH m AS (SELECT *, coalesce(sum(coalesce(end_turn, false)::INT) OVER (PARTITION BY conv_id ORDER BY msg_row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS turn_no FROM turn_messages WHERE lower(trim(author_role)) <> 'system') SELECT conv_id, turn_no, arg_max(msg_id, msg_row) AS turn_id, count(*) AS messages, count(*) FILTER (WHERE lower(trim(author_role)) IN ('assistant', 'bot') AND coalesce(recipient, 'all') <> 'all' AND create_time IS NOT NULL) AS tool_calls FROM m GROUP BY 1, 2 HAVING bool_or(coalesce(end_turn, false))",
-    "f33_markup_regex": "SELECT doc_id, length(trim(regexp_replace(regexp_replace(regexp_replace(text, '<[^<>]*>', ' ', 'g'), '&[a-z]+;', ' ', 'g'), '[ \\t\\n]+', ' ', 'g'))) AS chars FROM documents WHERE text IS NOT NULL",
+    "f33_markup_regex": "SELECT doc_id, length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '<[^<>]*>', ' ', 'g'), '&[a-z]+;', ' ', 'g'), '[ \\t\\n]+', ' ', 'g'), '^ +| +$', '', 'g')) AS chars FROM documents WHERE text IS NOT NULL",
     "o04_top_users": with_(TURNS) + "SELECT user_id, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM turns WHERE user_id IS NOT NULL GROUP BY 1 ORDER BY n DESC, user_id LIMIT 10",
     "j11_query_lookup": with_(TURNS, QUERY_TABLES, "t AS (SELECT conv_id, turn_id, row_id, (SELECT count(*) FROM queries q WHERE q.row_id = turns.row_id) AS n FROM turns WHERE conv_id IS NOT NULL AND turn_id IS NOT NULL)") + "SELECT conv_id, turn_id, arg_max(row_id, (n, -row_id)) AS row_id, count(*) AS rows FROM t GROUP BY 1, 2 HAVING count(*) > 1",
 }
