@@ -8,7 +8,8 @@ Labelled samples calibrate the three in SQL (means by level and one pooled covar
 the level of the highest discriminant.
 
 Defined results: null texts, texts of fewer than ``LEAST_WORDS`` words and texts that are no English prose give
-no row; words outside the ranked vocabulary share the rank after its last.
+no row; words outside the ranked vocabulary share the rank after its last; without samples there are no levels
+and no rows.
 """
 
 from __future__ import annotations
@@ -112,5 +113,7 @@ def levels(docs: DataFrame, samples: DataFrame) -> DataFrame:
     rank = ranks(docs)
     labelled = measures(samples, "sample_id", rank).join(samples.select("sample_id", "reading_level"), "sample_id")
     weights = spark.sql(CALIBRATION, samples=labelled).collect()  # one row per level
+    if not weights:
+        return docs.select("doc_id", F.lit(None).cast("bigint").alias("reading_level")).limit(0)
     score = ", ".join(f"struct({r.wx!r}D * coverage + {r.wy!r}D * sentence + {r.wz!r}D * word + {r.w0!r}D AS score, {int(r.reading_level)}L AS level)" for r in weights)
     return measures(docs, "doc_id", rank).filter("prose").select("doc_id", F.expr(f"array_max(array({score})).level").alias("reading_level"))

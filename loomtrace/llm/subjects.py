@@ -31,7 +31,7 @@ BITS = 17
 #: Bounds of the fit.
 FIT_SAMPLES = 5_000
 FIT_DOCUMENTS = 2_000
-FIT_PROMPTS = 16_000
+FIT_PROMPTS = 20_000
 DOCUMENT_CHARS = 3_000
 EPOCHS = 6
 BEAM = 6
@@ -127,7 +127,8 @@ class Chain:
 
     @staticmethod
     def inputs(evidence: np.ndarray, k: int, count: np.ndarray, before: np.ndarray) -> np.ndarray:
-        rival = np.delete(evidence, k, axis=-1).max(axis=-1)
+        rest = np.delete(evidence, k, axis=-1)
+        rival = rest.max(axis=-1) if rest.shape[-1] else np.full(rest.shape[:-1], -9.0)
         return np.concatenate([np.stack([evidence[..., k], rival, np.log1p(count), np.ones_like(rival)], axis=-1), before], axis=-1)
 
     def fit(self, evidence: np.ndarray, count: np.ndarray, y: np.ndarray) -> None:
@@ -183,8 +184,8 @@ class Model:
         return (np.max(parts, axis=0), len(parts)) if parts else (np.full(len(self.subjects), -9.0), 0)
 
     def predict(self, prompts: list[str | None]) -> list[list[str]]:
-        if not prompts:
-            return []
+        if not prompts or not self.subjects:
+            return [[] for _ in prompts]
         pairs = [self.evidence(p) for p in prompts]
         got = self.chain.decode(np.stack([e for e, _ in pairs]).astype(float), np.array([c for _, c in pairs], dtype=float))
         return [[s for s, on in zip(self.subjects, row) if on] if c else [] for row, (_, c) in zip(got, pairs)]
@@ -228,9 +229,9 @@ def trained(areas: DataFrame, samples: DataFrame, documents: DataFrame, turns: D
         counts = np.bincount(np.concatenate([np.array(r, dtype=np.int64) for r in rows]), minlength=1 << BITS)
         rows = [[i for i in r if counts[i] >= LEAST_COUNT] or [0] for r in rows]
         units.fit(rows, y, np.array(weights, dtype=np.float32))
-    chain.w[:, 0] = 1.0
+    chain.w[:, :1] = 1.0
     part = prompts[:6_000]
-    if part:
+    if part and names:
         pairs = [model.evidence(p) for p, _ in part]
         e, c = np.stack([a for a, _ in pairs]).astype(float), np.array([n for _, n in pairs], dtype=float)
         target = (e > np.log(CUT / (1 - CUT))).astype(float)
