@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomtrace.functions import coerce, text, urls
+from loomtrace.session import spread
 
 # Fixed values.
 PLATFORMS = ("chatgpt", "grok", "claude", "deepseek")
@@ -61,7 +62,7 @@ def list_field(v: str, path: str) -> Column:
 
 def messages(raw: DataFrame) -> DataFrame:
     """(row_id, pos, m): every message of every valid turn as a variant."""
-    return raw.select("row_id", F.try_parse_json("turn_msgs").alias("v")).select("row_id", F.posexplode(F.expr("try_variant_get(v, '$', 'array<variant>')")).alias("pos", "m"))
+    return spread(raw.select("row_id", "turn_msgs")).select("row_id", F.try_parse_json("turn_msgs").alias("v")).select("row_id", F.posexplode(F.expr("try_variant_get(v, '$', 'array<variant>')")).alias("pos", "m"))
 
 
 def queries(raw: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from loomtrace.operators import shredding, timestamps
-from loomtrace.session import table
+from loomtrace.session import spread, table
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -14,7 +14,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return shredding.node_table(table(spark, d, "web_data_summary").select("row_id", "turn_msgs"), "row_id", "turn_msgs")
+    return shredding.node_table(spread(table(spark, d, "web_data_summary").select("row_id", "turn_msgs")), "row_id", "turn_msgs")
 
 
 QUERIES = {"p5_found": p5_found, "p6_found": p6_found}
