@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtrace.llm import conversations, language, leakage, pairs, pii, reading, subjects, tokens
-from loomtrace.session import table
+from loomtrace.session import spread, table
 
 
 def _language_model(spark: SparkSession, d: str) -> language.Model:
@@ -15,7 +15,7 @@ def _language_model(spark: SparkSession, d: str) -> language.Model:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    turns = table(spark, d, "web_data_summary").select("row_id", "language", "user_msg_history")
+    turns = spread(table(spark, d, "web_data_summary").select("row_id", "language", "user_msg_history"))
     return language.mislabelled(turns, _language_model(spark, d))
 
 
@@ -26,18 +26,18 @@ def p1_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    turns = table(spark, d, "web_data_summary").select("row_id", "user_msg_history", "assistant_msg_history")
+    turns = spread(table(spark, d, "web_data_summary").select("row_id", "user_msg_history", "assistant_msg_history"))
     return pairs.defective_pairs(turns, _language_model(spark, d), pairs.openings(turns))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     turns = table(spark, d, "web_data_summary").select("row_id", "topic", "user_msg_history")
     model = subjects.trained(table(spark, d, "subject_areas"), table(spark, d, "subject_samples"), table(spark, d, "documents"), turns)
-    return subjects.subject_rows(turns, model)
+    return subjects.subject_rows(spread(turns), model)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    turns = table(spark, d, "web_data_summary").select("row_id", "user_msg_history", "turn_msgs")
+    turns = spread(table(spark, d, "web_data_summary").select("row_id", "user_msg_history", "turn_msgs"))
     return pii.findings(turns, pii.learn(turns))
 
 
@@ -53,15 +53,15 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
-    return tokens.encode_corpus(table(spark, d, "documents"))
+    return tokens.encode_corpus(spread(table(spark, d, "documents").select("doc_id", "text")))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.leaked(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "eval_items"))
+    return leakage.leaked(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "eval_items"))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    return reading.levels(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "reading_samples"))
+    return reading.levels(spread(table(spark, d, "documents").select("doc_id", "text")), table(spark, d, "reading_samples"))
 
 
 def queries() -> dict:
