@@ -8,7 +8,7 @@ and a full name made of protected terms is found in any context. Towns are learn
 addresses, which tells where an address without post code ends. Terms must hold at least 1/``SHARE`` of all
 introductions, which bounds their number.
 
-``sanitised`` removes what was found, leaving ``[EMAIL]``, ``[PHONE]``, ``[ID_NUMBER]``, ``[ADDRESS]`` or ``[NAME]``.
+``sanitised_texts`` replaces what was found in both fields, leaving ``[EMAIL]``, ``[PHONE]``, ``[ID_NUMBER]``, ``[ADDRESS]`` or ``[NAME]``.
 
 Defined results: null histories, null elements and null or invalid JSON give no rows; equal values of a row and
 field are given once; a place that fits two types takes the first of the order of ``TYPES``.
@@ -20,7 +20,7 @@ import json
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -309,13 +309,79 @@ def findings(turns: DataFrame, lexicon: Lexicon) -> DataFrame:
     return slim.mapInPandas(run, f"row_id {kind}, field_name string, pii_type string, pii_text string")
 
 
-def sanitised_prompts(turns: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """(row_id, user_msg_history) with placeholders; null elements stay null."""
+# A text of JSON in its raw form (perhaps cut off), and how JSON of lists, objects and texts begins.
+_LITERAL = re.compile(r'"(?P<raw>[^"\\]*(?:\\.[^"\\]*)*)(?P<end>"(?P<key>\s*:)?|\\?\Z)', re.S)
+_HALF = re.compile(r"\\u[0-9A-Fa-f]{0,3}\Z")
+_JSON_BEGIN = re.compile(r'\s*(?:\[\s*)*(?:\{\s*(?:["}]|\Z)|["\]]|null|\Z)')
+
+
+def _json_with(text: str, clean: Callable[[str], str]) -> str:
+    """JSON text with ``clean`` applied to the text values of ``text_values``; all else, also a cut-off end, stays as written."""
+
+    def one(m: re.Match) -> str:
+        raw, rest = m.group("raw"), ""
+        if m.group("key") is not None:
+            return m.group()
+        value = raw
+        if "\\" in raw:
+            try:
+                value = json.loads(f'"{raw}"', strict=False)
+            except ValueError:
+                half = _HALF.search(raw)
+                raw, rest = (raw[: half.start()], half.group()) if half else (raw, "")
+                try:
+                    value = json.loads(f'"{raw}"', strict=False)
+                except ValueError:
+                    return f'"{clean(raw)}{rest}{m.group("end")}'
+        new = _value_with(value, clean)
+        return m.group() if new == value else json.dumps(new, ensure_ascii="\\u" in raw)[:-1] + rest + m.group("end")
+
+    return _LITERAL.sub(one, text)
+
+
+def _value_with(value: str, clean: Callable[[str], str]) -> str:
+    if value[:1] in "[{" and len(value) > 2:
+        try:
+            json.loads(value)
+            return _json_with(value, clean)
+        except (ValueError, RecursionError):
+            pass
+    return clean(value)
+
+
+def sanitised_json(text: str, clean: Callable[[str], str]) -> str:
+    """A field of JSON text with ``clean`` applied to every text value; text that is no JSON at all is one text value."""
+    return _json_with(text, clean) if _JSON_BEGIN.match(text) else _value_with(text, clean)
+
+
+def sanitised_texts(turns: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """(row_id, field_name, pos, text) with placeholders: each element of the histories (null elements stay null) and,
+    as position 0, the JSON of ``turn_msgs``. JSON that is cut off keeps its end; its texts are searched all the same."""
     kind = dict(turns.dtypes)["row_id"]
     shared = turns.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lex, known = shared.value, {}
+
+        def of(text: str) -> str:
+            if len(known) > 100_000:
+                known.clear()
+            hit = known.get(text)
+            if hit is None:
+                hit = known[text] = sanitised(text, lex)
+            return hit
+
+        def value(text: str) -> str:
+            return of(text) if _worth(text) else text
+
         for f in frames:
-            yield pd.DataFrame({"row_id": f["row_id"], "user_msg_history": [None if h is None else [sanitised(t, shared.value) for t in h] for h in f["user_msg_history"]]})
+            out: list[tuple] = []
+            for key, history, msgs in zip(f["row_id"].tolist(), f["h"], f["m"].tolist()):
+                if history is not None:
+                    out.extend((key, "user_msg_history", i, of(t) if t else t) for i, t in enumerate(history))
+                if msgs is not None:
+                    out.append((key, "turn_msgs", 0, sanitised_json(msgs, value)))
+            yield pd.DataFrame(out, columns=["row_id", "field_name", "pos", "text"])
 
-    return turns.select("row_id", "user_msg_history").mapInPandas(run, f"row_id {kind}, user_msg_history array<string>")
+    slim = turns.select("row_id", F.col("user_msg_history").alias("h"), F.col("turn_msgs").alias("m"))
+    return slim.mapInPandas(run, f"row_id {kind}, field_name string, pos int, text string")

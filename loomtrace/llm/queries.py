@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from loomtrace.llm import conversations, language, leakage, pairs, pii, reading, subjects, tokens
 from loomtrace.session import spread, table
@@ -42,10 +41,9 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_sanitised(spark: SparkSession, d: str) -> DataFrame:
-    """The prompts with placeholders, one text per row and position."""
-    turns = table(spark, d, "web_data_summary").select("row_id", "user_msg_history")
-    clean = pii.sanitised_prompts(turns, pii.learn(turns))
-    return clean.select("row_id", F.posexplode("user_msg_history").alias("pos", "text"))
+    """The texts of both fields with placeholders, one per row, field and position."""
+    turns = spread(table(spark, d, "web_data_summary").select("row_id", "user_msg_history", "turn_msgs"))
+    return pii.sanitised_texts(turns, pii.learn(turns))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -130,6 +131,36 @@ def test_pii_frame(spark):
     assert pii.findings(d.limit(0), pii.learn(d.limit(0))).count() == 0
 
 
+def test_sanitised_both_fields(spark):
+    inner = json.dumps([{"note": "call +44 20 7946 0303"}])
+    msgs = json.dumps([{"id": "msg_1", "parts": ["Zoë \U0001f642 write a.b@c.example", None, "plain\n"], "items": inner, "n": 1.50}])
+    cut = '[{"id":"msg_2","parts":["mail d@e.example or \\u00e9 f@g.example, \\u00'
+    rows = [(1, ["mail a.b@c.example", None, ""], msgs), (2, None, cut), (3, [], None), (4, None, "no JSON, h@i.example"), (5, None, "[see] h@i.example")]
+    d = spark.createDataFrame(rows, "row_id long, user_msg_history array<string>, turn_msgs string")
+    got = {(r.row_id, r.field_name, r.pos): r.text for r in pii.sanitised_texts(d, pii.learn(d)).collect()}
+    assert {k[2]: v for k, v in got.items() if k[1] == "user_msg_history"} == {0: "mail [EMAIL]", 1: None, 2: ""}
+    back = json.loads(got[1, "turn_msgs", 0])
+    assert json.loads(back[0].pop("items")) == [{"note": "call [PHONE]"}]
+    assert back == [{"id": "msg_1", "parts": ["Zoë \U0001f642 write [EMAIL]", None, "plain\n"], "n": 1.5}]
+    assert got[2, "turn_msgs", 0] == '[{"id":"msg_2","parts":["mail [EMAIL] or \\u00e9 [EMAIL], \\u00'
+    assert got[4, "turn_msgs", 0] == "no JSON, [EMAIL]" and got[5, "turn_msgs", 0] == "[see] [EMAIL]" and len(got) == 7
+    assert pii.sanitised_texts(d.limit(0), LEX).count() == 0
+
+
+def test_sanitised_leaves_nothing(spark, tables):
+    turns = tables("web_data_summary")
+    lex = pii.learn(turns)
+    texts = {(r.row_id, r.pos): r.text for r in pii.sanitised_texts(turns, lex).filter("field_name = 'turn_msgs'").collect()}
+    for r in turns.filter("turn_msgs is not null").select("row_id", "turn_msgs").collect():
+        try:
+            before = list(pii.text_values(json.loads(r.turn_msgs)))
+        except ValueError:
+            continue
+        after = list(pii.text_values(json.loads(texts[r.row_id, 0])))
+        assert after == [pii.sanitised(v, lex) if pii._worth(v) else v for v in before]
+    assert pii.findings(turns, lex).filter("field_name = 'turn_msgs'").count() > 0
+
+
 def test_conversations_both_ways(tables, spark):
     m = tables("turn_messages")
     small = sorted(map(tuple, conversations.rebuild(m).collect()))
