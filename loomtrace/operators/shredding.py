@@ -14,7 +14,7 @@ JSON text in such a field is read in its place; text there that is no JSON list
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -197,6 +197,27 @@ def places(rep: Iterable[int], lists: int) -> Iterator[list[int]]:
         yield at
 
 
+def _text(value) -> str | None:
+    return value if value is None or isinstance(value, str) else json.dumps(value)
+
+
+def _paths(list_path: str) -> Callable[[list[int]], tuple[str, str | None]]:
+    """From positions in every list to (node path, parent path) of an element of ``list_path``."""
+    pieces = [p.replace("%", "%%") for p in list_path.split("[]")[:-1]]
+    if not pieces:
+        return lambda at: ("$", None)
+    lists, above = len(pieces), "[%d]".join(pieces[:-1]) + "[%d]"
+    if lists == 1:
+        return lambda at: (f"{list_path[:-2]}[{at[0]}]", "$")
+    below = list_path.split("[]")[-2]
+
+    def of(at: list[int]) -> tuple[str, str]:
+        parent = above % tuple(at[: lists - 1])
+        return f"{parent}{below}[{at[lists - 1]}]", parent
+
+    return of
+
+
 def assemble(element: Node) -> Iterator[tuple[str, str]]:
     """(node path, parent path) of every object in one list, from that list's level sequences."""
     whole = element.level + 1
@@ -263,7 +284,7 @@ def shredded(rows: DataFrame, key: str, text: str) -> DataFrame:
             for i, columns in records(f["t"].tolist(), structure_only=False):
                 for n in columns:
                     if n.scalar:
-                        out.append((keys[i], n.path, n.lists, n.level + 1, list(n.rep), list(n.dfn), [None if v is None else v if isinstance(v, str) else json.dumps(v) for v in n.values]))
+                        out.append((keys[i], n.path, n.lists, n.level + 1, list(n.rep), list(n.dfn), [_text(v) for v in n.values]))
                 if len(out) > 20_000:
                     yield pd.DataFrame(out, columns=[key, "leaf_path", "lists", "full", "rep", "dfn", "values"])
                     out = []
@@ -274,13 +295,63 @@ def shredded(rows: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
+def parted(node: Node, at: Node | None = None) -> Iterator[tuple[Node | None, Node]]:
+    """Every column of values below ``node`` with the element of the nearest list around it."""
+    if node.scalar:
+        yield at, node
+    for child in node.fields.values():
+        yield from parted(child, at)
+    if node.element is not None:
+        yield from parted(node.element, node.element)
+
+
+def flat_rows(root: Node) -> Iterator[tuple[str, str, str | None, str | None, str | None]]:
+    """(list path, node path, parent path, leaf, value) of one shredded record: each value at its nearest list element,
+    and one row without leaf for each object there that has no value of its own."""
+    filled: dict[str, set[str]] = {}
+    for element, n in parted(root):
+        full, place = n.level + 1, _paths(element.path if element else "$")
+        table, own = (element.path, filled.setdefault(element.path, set())) if element else ("$", set())
+        leaf = n.path[len(table) + 1 :]
+        for at, d, v in zip(places(n.rep, n.lists), n.dfn, n.values):
+            if d == full:
+                node, parent = place(at)
+                own.add(node)
+                yield table, node, parent, leaf, _text(v)
+    for n in nodes_of(root):
+        if n.element is not None:
+            own = filled.get(n.element.path, ())
+            yield from ((n.element.path, node, parent, None, None) for node, parent in assemble(n.element) if node not in own)
+
+
+def flat_tables(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """The flat tables of all lists in one: (key, list_path, node_path, parent_path, leaf, value). ``leaf_table`` gives the
+    rows of one ``list_path`` that have a value. An element that is a value itself has the leaf ''; what stands in
+    no list has the list and node path ``$`` and no parent."""
+    kind = dict(rows.dtypes)[key]
+    names = [key, "list_path", "node_path", "parent_path", "leaf", "value"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            keys, out = f["k"].tolist(), []
+            for i, columns in records(f["t"].tolist(), structure_only=False):
+                k = keys[i]
+                out.extend((k, *x) for x in flat_rows(columns[0]))
+                if len(out) > 50_000:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
+            yield pd.DataFrame(out, columns=names)
+
+    return rows.select(F.col(key).alias("k"), F.col(text).alias("t")).filter("t is not null").mapInPandas(run, f"`{key}` {kind}, list_path string, {NODE_SCHEMA}, leaf string, value string")
+
+
 def leaf_table(columns: DataFrame, key: str, list_path: str) -> DataFrame:
     """The flat table of one repeated ancestor (such as ``$[].metadata.search_result_groups[].entries[]``): one row per
-    present leaf value with the ancestor's path, its parent's path, the leaf's name and the value."""
+    present leaf value with the ancestor's path, its parent's path, the leaf's name and the value. Where the element
+    is a value itself (``$[].content.parts[]``), the leaf is ''."""
     kind = dict(columns.dtypes)[key]
     prefix = list_path + "."
-    lists = list_path.count("[]")
-    pieces = list_path.split("[]")[:-1]
+    place = _paths(list_path)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -288,10 +359,9 @@ def leaf_table(columns: DataFrame, key: str, list_path: str) -> DataFrame:
             for k, path, depth, full, rep, dfn, values in f[[key, "leaf_path", "lists", "full", "rep", "dfn", "values"]].itertuples(index=False, name=None):
                 for at, d, v in zip(places(rep, depth), dfn, values):
                     if d == full:
-                        parent = "".join(f"{p}[{i}]" for p, i in zip(pieces[:-1], at)) or "$"
-                        node = f"{'' if len(pieces) == 1 else parent}{pieces[-1]}[{at[lists - 1]}]"
-                        out.append((k, node, parent, path[len(prefix) :], v))
+                        out.append((k, *place(at), path[len(prefix) :], v))
             yield pd.DataFrame(out, columns=[key, "node_path", "parent_path", "leaf", "value"])
 
-    kept = columns.filter(F.col("leaf_path").startswith(prefix) & ~F.substring("leaf_path", len(prefix) + 1, 10_000).contains("[]"))
+    below = F.col("leaf_path").startswith(prefix) & ~F.expr(f"substring(leaf_path, {len(prefix) + 1})").contains("[]")
+    kept = columns.filter(below | (F.col("leaf_path") == list_path))
     return kept.mapInPandas(run, f"`{key}` {kind}, {NODE_SCHEMA}, leaf string, value string")

@@ -17,5 +17,10 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return shredding.node_table(spread(table(spark, d, "web_data_summary").select("row_id", "turn_msgs")), "row_id", "turn_msgs")
 
 
-QUERIES = {"p5_found": p5_found, "p6_found": p6_found}
+def p6_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The flat tables with their values: one row per value of each list element."""
+    return shredding.flat_tables(spread(table(spark, d, "web_data_summary").select("row_id", "turn_msgs")), "row_id", "turn_msgs")
+
+
+QUERIES = {"p5_found": p5_found, "p6_found": p6_found, "p6_tables": p6_tables}
 ORACLES: dict[str, str] = {}
