@@ -1,12 +1,12 @@
 """Problem 4: personal information inside free text, found and replaced by typed placeholders.
 
 Formats settle mail addresses, phone and identity numbers and street addresses. Names have no format. Here the
-corpus decides: over all prompts it is counted how often a capitalised term stands in a context that introduces
-a person ("my name is ...") and how often it stands anywhere. The ratio of these, as bits above the corpus
-average, is what the term discloses about the protected entity; terms above ``DISCLOSURE`` bits are protected,
-and a full name made of protected terms is found in any context. Towns are learnt in the same way from complete
-addresses, which tells where an address without post code ends. Terms must hold at least 1/``SHARE`` of all
-introductions, which bounds their number.
+corpus decides: over all distinct texts of both fields it is counted in how many a capitalised term stands in a
+context that introduces a person ("my name is ...") and in how many it stands anywhere. The ratio of these, as bits
+above the corpus average, is what the term discloses about the protected entity; terms above ``DISCLOSURE`` bits
+that are introduced in at least ``LEAST_CUED`` of their texts are protected, and a full name made of protected
+terms is found in any context. Towns are learnt in the same way from complete addresses, which tells where an
+address without post code ends. Terms must hold at least 1/``SHARE`` of all introductions, which bounds their number.
 
 ``sanitised_texts`` replaces what was found in both fields, leaving ``[EMAIL]``, ``[PHONE]``, ``[ID_NUMBER]``, ``[ADDRESS]`` or ``[NAME]``.
 
@@ -16,10 +16,10 @@ field are given once; a place that fits two types takes the first of the order o
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -31,7 +31,10 @@ TYPES = ("email", "address", "id_number", "phone", "name")
 DISCLOSURE = 3.0
 SUPPORT = 3
 SHARE = 200_000
+#: Least share of the texts with a term that introduce it, where introductions are rare and bits come easily.
+LEAST_CUED = 0.15
 GAP = ""
+NOTHING: list[tuple] = []
 
 # Formats.
 _TLD = r"(?:\.[\w-]+)*\.[A-Za-z]{2,}"
@@ -107,6 +110,7 @@ CUES = (
 INTRODUCED = re.compile(rf"(?:{CUES})\s*{_TITLE}{NAME}")
 ANY_NAME = re.compile(rf"(?<![\w-]){NAME}(?!\w)")
 _PAIR = re.compile(r"[A-ZÀ-ÖØ-Þ][\w'’]+(?: [A-Z]\.)*,? [A-ZÀ-ÖØ-Þ]")
+_DIGIT = re.compile(r"\d")
 _TERM = re.compile(r"(?<![\w@.-])[A-ZÀ-ÖØ-Þ][\w'’]+(?![\w@])")
 
 
@@ -132,43 +136,73 @@ def _town_of(m: re.Match) -> tuple[str, str | None]:
     return g, m.group(g)
 
 
-def _count(texts: Iterator[str]) -> Counter:
-    """(kind, term) -> occurrences: introduced and overall terms, towns of complete addresses."""
-    out: Counter = Counter()
-    for t in texts:
+def _introduced(t: str) -> set[tuple[str, str]]:
+    """(kind, term) of the terms that a text introduces and of the towns of its complete addresses."""
+    out: set[tuple[str, str]] = set()
+    if _PAIR.search(t):
         for m in INTRODUCED.finditer(t):
             for g in ("first", "last", "first2", "last2"):
-                for p in (m.group(g) or "").split("-"):
-                    if len(p) > 1:
-                        out["cue", form(p)] += 1
-        for m in _TERM.finditer(t):
-            out["all", form(m.group())] += 1
+                out.update(("cue", form(p)) for p in (m.group(g) or "").split("-") if len(p) > 1)
+    if _DIGIT.search(t):
         for m in ADDRESS.finditer(t):
             g, town = _town_of(m)
             if (g != "t1" or m.group("z1")) and re.match(r"[\s]*(?:[.,;。)]|$|[a-z])", t[m.end() :]):
-                out["town", town] += 1
+                out.add(("town", town))
     return out
 
 
-def learn(turns: DataFrame, history: str = "user_msg_history") -> Lexicon:
-    """Count over all prompts; what comes back is bounded by 1/SHARE of the introductions (terms) and of the addresses (towns)."""
+def _per_text(turns: DataFrame, history: str, msgs: str, rows: Callable[[str], list[tuple]], schema: str, every: bool) -> DataFrame:
+    """``rows`` of the texts of both fields with a hash of the text: of every occurrence, or at least once for each text."""
+    names = ["h", *(c.split()[0] for c in schema.split(", "))]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[int, list[tuple]] = {}
         for f in frames:
-            c = _count(t for h in f["h"] if h is not None for t in h if t)
-            yield pd.DataFrame([(k, w, n) for (k, w), n in c.items()], columns=["kind", "term", "n"])
+            out: list[tuple] = []
+            for history, msgs in zip(f["h"], f["m"].tolist()):
+                for t in (*(history if history is not None else ()), *message_texts(msgs)):
+                    if not t:
+                        continue
+                    h = int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+                    got = seen.get(h)
+                    if got is None:
+                        if len(seen) > 300_000:
+                            seen.clear()
+                        got = rows(t)
+                        seen[h] = got if every and got else NOTHING
+                    elif not got:
+                        continue
+                    out.extend((h, *x) for x in got)
+            yield pd.DataFrame(out, columns=names)
 
-    counted = turns.select(F.col(history).alias("h")).mapInPandas(run, "kind string, term string, n bigint").groupBy("kind", "term").agg(F.sum("n").alias("n"))
-    per = counted.groupBy("term").agg(*[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(k) for k in ("cue", "all", "town")])
+    m = F.col(msgs) if msgs in turns.columns else F.lit(None).cast("string")
+    return turns.select(F.col(history).alias("h"), m.alias("m")).mapInPandas(run, f"h bigint, {schema}")
+
+
+def learn(turns: DataFrame, history: str = "user_msg_history", msgs: str = "turn_msgs") -> Lexicon:
+    """Count over both fields: the ratios over distinct texts, ``SUPPORT`` and ``SHARE`` over occurrences. What comes back is bounded by 1/SHARE of the introductions (terms) and of the addresses (towns)."""
     from loomtrace.session import checkpointed
 
-    per = checkpointed(per)
-    total = per.agg(F.sum("cue"), F.sum("all"), F.sum("town")).first()
-    cues, everything, towns = (x or 0 for x in total)
-    average = max(cues, 1) / max(everything, 1)
-    kept = per.filter((F.col("cue") >= max(SUPPORT, cues / SHARE)) | (F.col("town") >= max(SUPPORT, towns / SHARE))).collect()
-    bits = {r.term: b for r in kept if r.cue >= SUPPORT and r["all"] and (b := math.log2(r.cue / r["all"] / average)) >= DISCLOSURE and r.cue >= 0.15 * r["all"]}
-    places = {r.term: r.town for r in kept if r.town >= SUPPORT}
+    introduced = _per_text(turns, history, msgs, lambda t: list(_introduced(t)), "kind string, term string", every=True)
+    by_text = introduced.groupBy("kind", "term", "h").agg(F.count("*").alias("n"))
+    per = checkpointed(by_text.groupBy("kind", "term").agg(F.sum("n").alias("n"), F.count("*").alias("texts")))
+    sums = per.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")).collect()
+    totals, cued_texts = {r.kind: r.n for r in sums}, {r.kind: r.texts for r in sums}
+    kept = per.filter(F.col("n") >= F.when(F.col("kind") == "cue", max(SUPPORT, totals.get("cue", 0) / SHARE)).otherwise(max(SUPPORT, totals.get("town", 0) / SHARE))).collect()
+    cue = {r.term: r.texts for r in kept if r.kind == "cue"}
+    places = {r.term: r.n for r in kept if r.kind == "town"}
+    shared = turns.sparkSession.sparkContext.broadcast(frozenset(cue))
+
+    def standing(t: str) -> list[tuple[str | None, int]]:
+        terms = {form(w) for w in _TERM.findall(t)}
+        return [(None, len(terms)), *((w, 1) for w in terms & shared.value)] if terms else []
+
+    bits: dict[str, float] = {}
+    if cue:
+        counted = _per_text(turns, history, msgs, standing, "term string, n bigint", every=False).groupBy("h", "term").agg(F.max("n").alias("n")).groupBy("term").agg(F.sum("n").alias("n"))
+        everywhere = {r.term: r.n for r in counted.collect()}
+        average = cued_texts["cue"] / max(everywhere.pop(None, 0), 1)
+        bits = {w: b for w, n in everywhere.items() if (b := math.log2(cue[w] / n / average)) >= DISCLOSURE and cue[w] >= LEAST_CUED * n}
     # a "town" of two words whose first word is a commoner town has swallowed the word after it
     return Lexicon(bits, frozenset(t for t, n in places.items() if places.get(t.split()[0], 0) <= n))
 
@@ -271,8 +305,21 @@ def text_values(value) -> Iterator[str]:
             stack.extend(v)
 
 
+# One web address or message id and nothing else.
+_BARE = re.compile(r"https?://[!-~]*|msg_[\w-]*", re.A)
+
+
 def _worth(v: str) -> bool:
-    return len(v) > 5 and not v.startswith(("http://", "https://", "msg_"))
+    return len(v) > 4 and not _BARE.fullmatch(v)
+
+
+def message_texts(msgs: str | None) -> Iterator[str]:
+    """The text values of a field of JSON that can hold personal information; none where it is null or invalid."""
+    try:
+        values = json.loads(msgs) if msgs is not None else None
+    except (ValueError, RecursionError):
+        return
+    yield from filter(_worth, text_values(values))
 
 
 def findings(turns: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -297,12 +344,7 @@ def findings(turns: DataFrame, lexicon: Lexicon) -> DataFrame:
             for key, history, msgs in zip(f["row_id"].tolist(), f["h"], f["m"].tolist()):
                 if history is not None:
                     out.extend((key, "user_msg_history", *x) for x in dict.fromkeys(x for t in history if t for x in of(t)))
-                if msgs is not None:
-                    try:
-                        values = json.loads(msgs)
-                    except (ValueError, RecursionError):
-                        continue
-                    out.extend((key, "turn_msgs", *x) for x in dict.fromkeys(x for t in text_values(values) if _worth(t) for x in of(t)))
+                out.extend((key, "turn_msgs", *x) for x in dict.fromkeys(x for t in message_texts(msgs) for x in of(t)))
             yield pd.DataFrame(out, columns=["row_id", "field_name", "pii_type", "pii_text"])
 
     slim = turns.select("row_id", F.col("user_msg_history").alias("h"), F.col("turn_msgs").alias("m"))

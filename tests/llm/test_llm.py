@@ -131,6 +131,24 @@ def test_pii_frame(spark):
     assert pii.findings(d.limit(0), pii.learn(d.limit(0))).count() == 0
 
 
+def test_values_that_begin_with_a_link(spark):
+    values = ["https://a.example/b and mail a.b@c.example", "http://a.example，请写信：d@e.example", "msg_ from f@g.example", "https://a.example/b", "msg_12-a"]
+    d = spark.createDataFrame([(1, None, json.dumps(values))], "row_id long, user_msg_history array<string>, turn_msgs string")
+    assert {r.pii_text for r in pii.findings(d, LEX).collect()} == {"a.b@c.example", "d@e.example", "f@g.example"}
+    assert json.loads(pii.sanitised_texts(d, LEX).first().text) == ["https://a.example/b and mail [EMAIL]", "http://a.example，请写信：[EMAIL]", "msg_ from [EMAIL]", *values[3:]]
+
+
+def test_terms_of_distinct_texts_of_both_fields(spark):
+    """A text sent again and again counts once; texts inside turn_msgs count like prompts."""
+    cued = [f"My name is Zelmira Quandrel and this is question {w}" for w in ("one", "two", "three")]
+    rest = [f"Tell Me About Old Town Hall Number {i} In The Large City Of Rivers And Hills" for i in range(20)]
+    rows = [(i, [t], None) for i, t in enumerate(cued + rest)] + [(100 + i, ["Zelmira Quandrel again"], None) for i in range(60)]
+    rows += [(200 + i, None, json.dumps([f"My name is Ottoline Varsk and this is question {w}"])) for i, w in enumerate(("one", "two", "three"))]
+    d = spark.createDataFrame(rows, "row_id long, user_msg_history array<string>, turn_msgs string")
+    assert set(pii.learn(d).bits) == {"Zelmira", "Quandrel", "Ottoline", "Varsk"}
+    assert pii.findings(d, pii.learn(d)).filter("row_id between 100 and 159 and pii_text = 'Zelmira Quandrel'").count() == 60
+
+
 def test_sanitised_both_fields(spark):
     inner = json.dumps([{"note": "call +44 20 7946 0303"}])
     msgs = json.dumps([{"id": "msg_1", "parts": ["Zoë \U0001f642 write a.b@c.example", None, "plain\n"], "items": inner, "n": 1.50}])
