@@ -10,13 +10,16 @@ from loomtrace.functions import text as X
 from loomtrace.operators import attribution, stats
 from loomtrace.session import table
 
+MAX_TYPES = 64
 TYPES = ("click", "error", "purchase", "signup", "view")
 
 
 def _cells(spark, d):
     """Events by user and day with a flag and a mean value per type."""
     e = table(spark, d, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-    kinds = [r.event_type for r in e.select("event_type").distinct().orderBy("event_type").limit(64).collect()]
+    kinds = [r.event_type for r in e.select("event_type").distinct().orderBy("event_type").limit(MAX_TYPES + 1).collect()]
+    if len(kinds) > MAX_TYPES:
+        raise ValueError(f"more than {MAX_TYPES} event types")
     return e.groupBy("user_id", "day").agg(*[F.max((F.col("event_type") == k).cast("int")).alias(f"f_{k}") for k in kinds], *[F.avg(F.when(F.col("event_type") == k, F.col("value"))).alias(f"v_{k}") for k in kinds]), kinds
 
 

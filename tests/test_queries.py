@@ -30,6 +30,13 @@ def plain(x):
         return str(x)
 
 
+@pytest.mark.parametrize("name", ["a11_combinations", "a12_anchor_agreement", "a13_all_flags_means"])
+def test_too_many_event_types(spark, tmp_path, name):
+    spark.range(65).selectExpr("id as user_id", "timestamp'2024-01-01' as ts", "'t' || id as event_type", "1.0 as value").write.parquet(f"{tmp_path}/events.parquet")
+    with pytest.raises(ValueError, match="event types"):
+        QUERIES[name](spark, str(tmp_path))
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, data, duck, name):
     got = QUERIES[name](spark, data)
