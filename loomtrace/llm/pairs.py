@@ -108,9 +108,13 @@ def is_copy(prompt: str | None, answer: str) -> bool:
     """The answer is the prompt, perhaps quoted, announced or without its last signs, with nothing added."""
     p = squeezed(prompt or "")
     a = squeezed(LEAD.sub("", answer.strip().lstrip("> \t\"'“«*").strip()))
-    if len(p) < 8 or not a:
+    if not p or not a:
         return False
-    if a == p or (p.startswith(a) and len(a) >= 0.85 * len(p)):
+    if a == p:
+        return True
+    if len(p) < 8:
+        return False
+    if p.startswith(a) and len(a) >= 0.85 * len(p):
         return True
     if p in a:
         return len(a) - len(p) <= min(EXTRA_CHARS, len(p) // 3) or not a.replace(p, "")
@@ -119,8 +123,6 @@ def is_copy(prompt: str | None, answer: str) -> bool:
 
 def is_refusal(answer: str) -> bool:
     """Every sentence declines or is a courtesy, and at least one declines."""
-    if len(answer) > 400:
-        return False
     parts = [s for s in _SENTENCE_GAP.split(answer.strip().replace("’", "'")) if s and s.strip()]
     said = [bool(REFUSAL.search(s)) for s in parts]
     return any(said) and all(r or COURTESY.search(s.strip()) for r, s in zip(said, parts))

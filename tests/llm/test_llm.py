@@ -76,6 +76,14 @@ def test_pairs(model, prompt, answer, want):
     assert next(pairs.Rules(model, BEGUN).triggered(prompt, answer), None) == want
 
 
+def test_pairs_of_any_length(model):
+    rules = pairs.Rules(model, BEGUN)
+    assert list(rules.triggered("什么是国债？", "什么是国债？"))[0] == "copy" and list(rules.triggered("No?", "It depends on the case.")) == []
+    refusal = "I'm sorry, but I can't help with that. " * 15
+    assert next(rules.triggered("What should I know about knee pain?", refusal.strip())) == "refusal"
+    assert "refusal" not in rules.triggered("What should I know about knee pain?", refusal + "Rest the knee for a week.")
+
+
 def test_pairs_frame(spark, model):
     rows = [(1, ["q"], None), (2, None, ["a"]), (3, ["What should I know?", "b"], ["Rest the knee for a week."]), (4, [], [])]
     d = spark.createDataFrame(rows, "row_id long, user_msg_history array<string>, assistant_msg_history array<string>")
