@@ -8,8 +8,8 @@ that lie close together must make up half of the item.
 
 Words are compared after removing markup, entities, citation marks, hyphens at line ends, case and punctuation.
 
-Defined results: null and empty texts and items give no row; items of fewer than ``LEAST_WORDS`` words are
-matched as a whole; each (document, item) is given once, repeated document rows each give their row.
+Defined results: null and empty texts and items give no row; items of fewer than ``LEAST_WORDS`` words
+have pieces of ``SHORT_PIECE`` words, those of fewer than ``WHOLE_WORDS`` must stand there as a whole, word by word; each (document, item) is given once, repeated document rows each give their row.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 PIECE = 4
 LEAST_WORDS = 16
+SHORT_PIECE = 2
+WHOLE_WORDS = 4
 SHARE = 0.5
 NEAR = 10
 MAX_ITEMS = 100_000
@@ -90,6 +92,7 @@ class Item:
     window: int
     budget: int
     starts: list[int]
+    piece: int
 
 
 class Index:
@@ -99,19 +102,20 @@ class Index:
         self.ids: dict[str, int] = {}
         self.items: list[Item] = []
         self.pieces: dict[tuple, list[tuple[int, int]]] = {}
-        self.firsts: set[int] = set()
+        self.firsts: dict[int, tuple[int, ...]] = {}
         for key, text in items:
             w = [self.ids.setdefault(x, len(self.ids)) for x in words_of(text)]
-            if len(w) < PIECE:
+            if not w:
                 continue
-            h = -(-len(w) // 2) if len(w) >= LEAST_WORDS else len(w)
-            starts = sorted({*range(0, len(w) - h + 1, 2), len(w) - h})
+            piece = PIECE if len(w) >= LEAST_WORDS else SHORT_PIECE if len(w) >= WHOLE_WORDS else len(w)
+            h = -(-len(w) // 2) if len(w) >= WHOLE_WORDS else len(w)
+            starts = sorted({*range(0, len(w) - h + 1, 2 if len(w) >= LEAST_WORDS else 1), len(w) - h})
             n = len(self.items)
-            self.items.append(Item(key, w, h, max(0, h // PIECE - 1), starts))
-            for at in range(len(w) - PIECE + 1):
-                if any(s <= at and at + PIECE <= s + h and (at - s) % PIECE == 0 for s in starts):
-                    self.pieces.setdefault(tuple(w[at : at + PIECE]), []).append((n, at))
-                    self.firsts.add(w[at])
+            self.items.append(Item(key, w, h, max(0, h // piece - 1), starts, piece))
+            for at in range(len(w) - piece + 1):
+                if any(s <= at and at + piece <= s + h and (at - s) % piece == 0 for s in starts):
+                    self.pieces.setdefault(tuple(w[at : at + piece]), []).append((n, at))
+                    self.firsts[w[at]] = tuple({*self.firsts.get(w[at], ()), piece})
 
     def leaks(self, text: str | None) -> list[int]:
         """Keys of the items that a text holds."""
@@ -121,16 +125,18 @@ class Index:
         words = [ids.get(w, -1) for w in words_of(text)]
         hits: dict[int, list[tuple[int, int]]] = {}
         for i, w in enumerate(words):
-            if w in self.firsts:
-                for n, at in self.pieces.get(tuple(words[i : i + PIECE]), ()):
+            for piece in self.firsts.get(w, ()):
+                for n, at in self.pieces.get(tuple(words[i : i + piece]), ()):
                     hits.setdefault(n, []).append((at, i))
         return [self.items[n].key for n, at in hits.items() if self._confirmed(self.items[n], at, words)]
 
     def _confirmed(self, item: Item, hits: list[tuple[int, int]], words: list[int]) -> bool:
+        if len(item.words) < WHOLE_WORDS:
+            return True
         tried: set[tuple[int, int]] = set()
         for at, i in hits:
             for s in item.starts:
-                if not (s <= at and at + PIECE <= s + item.window and (at - s) % PIECE == 0):
+                if not (s <= at and at + item.piece <= s + item.window and (at - s) % item.piece == 0):
                     continue
                 begin = i - (at - s) - item.budget
                 if (s, begin // 2) in tried:

@@ -84,6 +84,17 @@ def test_pairs_of_any_length(model):
     assert "refusal" not in rules.triggered("What should I know about knee pain?", refusal + "Rest the knee for a week.")
 
 
+def test_short_items():
+    def held(item, text):
+        return leakage.Index([(1, item)]).leaks(text)
+
+    ten = "alder birch cedar drift ember fjord grove heath islet jetty"
+    assert held(ten, "we saw alder birch cedar drift ember there") == [1] and held(ten, "then cedar drift ember fjord grove heath and more") == [1]
+    assert held(ten, "only alder birch cedar here") == []
+    assert held("Alder, birch!", "an ALDER birch tree") == [1] and held("alder birch", "birch alder") == [] and held("walrus", "one walrus") == [1]
+    assert held("...", "one walrus") == []
+
+
 def test_pairs_frame(spark, model):
     rows = [(1, ["q"], None), (2, None, ["a"]), (3, ["What should I know?", "b"], ["Rest the knee for a week."]), (4, [], [])]
     d = spark.createDataFrame(rows, "row_id long, user_msg_history array<string>, assistant_msg_history array<string>")
