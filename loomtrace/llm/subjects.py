@@ -230,14 +230,13 @@ def trained(areas: DataFrame, samples: DataFrame, documents: DataFrame, turns: D
         rows = [[i for i in r if counts[i] >= LEAST_COUNT] or [0] for r in rows]
         units.fit(rows, y, np.array(weights, dtype=np.float32))
     chain.w[:, :1] = 1.0
-    part = prompts[:6_000]
-    if part and names:
-        pairs = [model.evidence(p) for p, _ in part]
+    if prompts and names:
+        pairs = [model.evidence(p) for p, _ in prompts]
         e, c = np.stack([a for a, _ in pairs]).astype(float), np.array([n for _, n in pairs], dtype=float)
         target = (e > np.log(CUT / (1 - CUT))).astype(float)
-        own = np.array([k for _, k in part])
-        sure = e[np.arange(len(part)), own] > np.log(0.1 / 0.9)
-        target[np.arange(len(part))[sure], own[sure]] = 1
+        own = np.array([k for _, k in prompts])
+        sure = e[np.arange(len(prompts)), own] > np.log(0.1 / 0.9)
+        target[np.arange(len(prompts))[sure], own[sure]] = 1
         chain.fit(e, c, target)
     return model
 

@@ -95,6 +95,14 @@ def test_short_items():
     assert held("...", "one walrus") == []
 
 
+def test_subject_chain_fits_on_all_prompts(spark, tables, monkeypatch):
+    turns = spark.range(6_100).selectExpr("id as row_id", "'finance' as topic", "array('What about savings accounts?') as user_msg_history")
+    rows, fit = [], subjects.Chain.fit
+    monkeypatch.setattr(subjects.Chain, "fit", lambda self, e, c, y: rows.append(len(e)) or fit(self, e, c, y))
+    subjects.trained(tables("subject_areas"), tables("subject_samples"), tables("documents"), turns)
+    assert rows == [6_100]
+
+
 def test_pairs_frame(spark, model):
     rows = [(1, ["q"], None), (2, None, ["a"]), (3, ["What should I know?", "b"], ["Rest the knee for a week."]), (4, [], [])]
     d = spark.createDataFrame(rows, "row_id long, user_msg_history array<string>, assistant_msg_history array<string>")
