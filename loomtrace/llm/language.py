@@ -136,7 +136,7 @@ def trained(samples: DataFrame, documents: DataFrame | None = None, turns: DataF
     model = fit(labelled)
     parts = []
     if documents is not None:
-        parts.append((documents.select(F.xxhash64("doc_id").alias("h"), "doc_id", "lang", F.substring("text", 1, 4_000).alias("text")), FIT_DOCUMENTS))
+        parts.append((documents.select(F.xxhash64("doc_id").alias("h"), "doc_id", "lang", "text"), FIT_DOCUMENTS))
     if turns is not None:
         parts.append((turns.select(F.xxhash64("row_id").alias("h"), "row_id", F.col("language").alias("lang"), current_prompt(F.col("user_msg_history")).alias("text")), FIT_PROMPTS))
     more = []

@@ -84,6 +84,26 @@ def test_pairs_of_any_length(model):
     assert "refusal" not in rules.triggered("What should I know about knee pain?", refusal + "Rest the knee for a week.")
 
 
+def test_fits_on_whole_documents(spark, monkeypatch):
+    tail = "The last sentence speaks of a walrus and its long journey home."
+    text = "This is a plain sentence about the weather in the north. " * 80 + tail
+    assert len(text) > 4_500
+    docs = spark.createDataFrame([(1, text, "en", "https://a.example/science-1")], "doc_id long, text string, lang string, url string")
+    samples = spark.createDataFrame([(f"What should I know about the weather and the north {i}?", "en", "science") for i in range(5)], "text string, lang string, subject string")
+    seen, fit = [], language.fit
+    monkeypatch.setattr(language, "fit", lambda texts, *a: seen.append(texts) or fit(texts, *a))
+    language.trained(samples, docs)
+    assert any("walrus" in t for t, _ in seen[-1])
+
+
+def test_subject_chain_fits_on_all_prompts(spark, tables, monkeypatch):
+    turns = spark.range(6_100).selectExpr("id as row_id", "'finance' as topic", "array('What about savings accounts?') as user_msg_history")
+    rows, fit = [], subjects.Chain.fit
+    monkeypatch.setattr(subjects.Chain, "fit", lambda self, e, c, y: rows.append(len(e)) or fit(self, e, c, y))
+    subjects.trained(tables("subject_areas"), tables("subject_samples"), tables("documents"), turns)
+    assert rows == [6_100]
+
+
 def test_short_items():
     def held(item, text):
         return leakage.Index([(1, item)]).leaks(text)
@@ -95,14 +115,6 @@ def test_short_items():
     assert held("...", "one walrus") == []
 
 
-def test_subject_chain_fits_on_all_prompts(spark, tables, monkeypatch):
-    turns = spark.range(6_100).selectExpr("id as row_id", "'finance' as topic", "array('What about savings accounts?') as user_msg_history")
-    rows, fit = [], subjects.Chain.fit
-    monkeypatch.setattr(subjects.Chain, "fit", lambda self, e, c, y: rows.append(len(e)) or fit(self, e, c, y))
-    subjects.trained(tables("subject_areas"), tables("subject_samples"), tables("documents"), turns)
-    assert rows == [6_100]
-
-
 def test_pairs_frame(spark, model):
     rows = [(1, ["q"], None), (2, None, ["a"]), (3, ["What should I know?", "b"], ["Rest the knee for a week."]), (4, [], [])]
     d = spark.createDataFrame(rows, "row_id long, user_msg_history array<string>, assistant_msg_history array<string>")
