@@ -30,7 +30,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    turns = table(spark, d, "web_data_summary").select("row_id", "topic", "user_msg_history")
+    turns = table(spark, d, "web_data_summary").select("row_id", "topic", "platform", "user_msg_history")
     model = subjects.trained(table(spark, d, "subject_areas"), table(spark, d, "subject_samples"), table(spark, d, "documents"), turns)
     return subjects.subject_rows(spread(turns), model)
 

@@ -1,16 +1,22 @@
 """Problem 3: subject areas of the current prompt by a classifier chain decoded with beam search.
 
 Three sources label sentences for the fit, each bounded: the labelled samples, documents whose address names a
-subject (source feature), and prompts with the unreliable topic of their turn as a weak label. A sentence is
-described by terms (words, word pairs, word stems, Chinese sign pairs) and structure (question, position,
-length). Logistic units give each sentence a score for every subject; what a prompt holds for a subject is the
-best score of its sentences. A chain over the subjects, each link seeing the ones decided before it, models which
-subjects occur together, and beam search finds the likeliest combination.
+subject, and prompts with the unreliable topic of their turn as a weak label. A sentence is described by terms
+(words, word pairs, word stems, Chinese sign pairs), structure (question, length) and source (page or prompt,
+platform). Only terms of which one subject holds at least ``CONCENTRATION`` take part, so that the wording every
+subject shares does not drown a rare term. Logistic units, begun at the log ratios of naive Bayes, give each
+sentence a score for every subject; what a prompt holds for a subject is the best score of its sentences.
+
+A chain over the subjects, each link seeing the ones decided before it, models which subjects occur together.
+It is fitted on prompts with known sets of subjects: labelled samples alone and put together with others, partners
+drawn as often as the two subjects meet in the corpus, and prompts without a subject's term. Their evidence comes
+from units that never saw these samples. A held-out part of them calibrates every link (Platt), so a combination
+is the likeliest one at a threshold of one half. Beam search decodes it.
 
 Asides in brackets and greetings name things only in passing and are left out.
 
 Defined results: null or empty histories and prompts without a sentence give no row; every row of a repeated
-turn gets its own rows.
+turn gets its own rows; a null or unknown platform is no source feature.
 """
 
 from __future__ import annotations
@@ -28,16 +34,17 @@ from loomtrace.llm import pii
 from loomtrace.llm.language import current_prompt
 
 BITS = 17
-#: Bounds of the fit.
+#: Bounds of the fit, in rows with the smallest hashes.
 FIT_SAMPLES = 5_000
 FIT_DOCUMENTS = 2_000
 FIT_PROMPTS = 20_000
-DOCUMENT_CHARS = 3_000
-EPOCHS = 6
+EPOCHS = 4
 BEAM = 6
-CUT = 0.35
-#: A term must occur this often in the fit; rarer ones only tell single rows apart.
-LEAST_COUNT = 3
+#: Least share of a term's weight (with every subject made equally heavy) that one subject must hold.
+CONCENTRATION = 0.5
+#: Prompts put together for each labelled sample to fit and calibrate the chain, and the part held out for calibration.
+COMPOSED = 6
+HELD_OUT = 0.25
 KEEP_SENTENCES = 200_000
 
 # Topics of the export and the subject they stand for.
@@ -65,8 +72,16 @@ def sentences(prompt: str | None) -> list[str]:
     return [s for s in _SENTENCE.split(_NOISE.sub(" ", _ASIDE.sub(" ", prompt))) if s and _TOKEN.search(s)]
 
 
-def features(sentence: str) -> list[int]:
-    """Hashed terms and structure of a sentence."""
+MASK = (1 << BITS) - 1
+
+
+def _bucket(term: str) -> int:
+    return zlib.crc32(term.encode()) & MASK
+
+
+def features(sentence: str) -> tuple[list[int], list[int]]:
+    """Hashed terms and hashed structure of a sentence; digits count as one sign."""
+    sentence = re.sub(r"\d+", "9", sentence)
     words = [w.lower() for w in _TOKEN.findall(sentence)]
     terms: list[str] = []
     for w in words:
@@ -77,19 +92,45 @@ def features(sentence: str) -> list[int]:
             if len(w) > 6:
                 terms.append("^" + w[:6])
     terms += [f"{a} {b}" for a, b in zip(words, words[1:])]
-    terms += [f"~q{int(sentence.rstrip()[-1:] in '?？')}", f"~n{min(4, len(words) // 4)}"]
-    mask = (1 << BITS) - 1
-    return list(dict.fromkeys(zlib.crc32(t.encode()) & mask for t in terms))
+    structure = (f"~q{int(sentence.rstrip()[-1:] in '?？')}", f"~n{min(4, len(words) // 4)}")
+    return list(dict.fromkeys(map(_bucket, terms))), list(map(_bucket, structure))
+
+
+def source(kind: str, platform: str | None) -> list[int]:
+    """Hashed source of a text: page or prompt, and its platform."""
+    named = (platform or "").strip().lower()
+    return [_bucket(f"~s{kind}"), *([_bucket(f"~p{named}")] if named else [])]
 
 
 class Units:
-    """Logistic units, one per subject, over hashed features."""
+    """Logistic units, one per subject, over the hashed features that ``keep`` marks."""
 
     def __init__(self, n: int):
         self.w = np.zeros((1 << BITS, n), dtype=np.float32)
         self.b = np.full(n, -2.0, dtype=np.float32)
-
-    def fit(self, rows: list[list[int]], y: np.ndarray, weight: np.ndarray, rate: float = 0.3, decay: float = 2e-6) -> None:
+        self.keep = np.zeros(1 << BITS, dtype=bool)
+
+    def select(self, terms: list[list[int]], label: np.ndarray, weight: np.ndarray) -> None:
+        """Keep the terms that one subject holds, and begin at their smoothed log ratios."""
+        n = self.w.shape[1]
+        flat = np.concatenate([np.array(r, dtype=np.int64) for r in terms])
+        own = np.repeat(np.arange(len(terms)), [len(r) for r in terms])
+        counts = np.zeros((1 << BITS, n))
+        np.add.at(counts, (flat, label[own]), weight[own])
+        size = np.maximum(np.bincount(label, weights=weight, minlength=n), 1e-9)
+        fair = counts / (size / size.mean())
+        self.keep = (fair.sum(axis=1) > 0) & (fair.max(axis=1) + 0.3 / n >= CONCENTRATION * (fair.sum(axis=1) + 0.3))
+        smooth = 0.02
+        here = (counts + smooth) / (size + 2 * smooth)
+        there = (counts.sum(axis=1, keepdims=True) - counts + smooth * (n - 1)) / (size.sum() - size + 2 * smooth * (n - 1) + 1e-9)
+        if n > 1:
+            self.w[self.keep] = 0.5 * (np.log(here) - np.log(there))[self.keep]
+
+    def fit(self, terms: list[list[int]], extra: list[list[int]], label: np.ndarray, weight: np.ndarray, rate: float = 0.3, decay: float = 2e-6) -> None:
+        self.select(terms, label, weight)
+        rows = [[i for i in t if self.keep[i]] + x for t, x in zip(terms, extra)]
+        y = np.zeros((len(rows), self.w.shape[1]), dtype=np.float32)
+        y[np.arange(len(rows)), label] = 1
         sizes = np.array([len(r) for r in rows])
         flat = np.concatenate([np.array(r, dtype=np.int64) for r in rows])
         starts = np.concatenate([[0], np.cumsum(sizes)])
@@ -114,8 +155,23 @@ class Units:
                 gb2 += gb * gb
                 self.b -= rate * gb / np.sqrt(gb2)
 
-    def score(self, row: list[int]) -> np.ndarray:
-        return self.w[row].sum(axis=0) / np.sqrt(max(1, len(row))) + self.b
+    def part(self, terms: list[int], structure: list[int]) -> tuple[np.ndarray, int]:
+        """Sum of the weights of a sentence without its source, and their number."""
+        row = [i for i in terms if self.keep[i]] + structure
+        return self.w[row].sum(axis=0), len(row)
+
+    def whole(self, part: tuple[np.ndarray, int], origin: list[int]) -> np.ndarray:
+        return (part[0] + self.w[origin].sum(axis=0)) / np.sqrt(part[1] + len(origin)) + self.b
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, start: np.ndarray, ridge: float) -> np.ndarray:
+    """Newton steps of a logistic regression drawn towards ``start``."""
+    w = start.copy()
+    for _ in range(15):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1])
+        w -= np.linalg.solve(h, x.T @ (p - y) + ridge * (w - start))
+    return w
 
 
 class Chain:
@@ -124,6 +180,8 @@ class Chain:
     def __init__(self, n: int):
         self.n = n
         self.w = np.zeros((n, 4 + n))
+        self.w[:, 0] = 1.0
+        self.scale, self.shift = np.ones(n), np.zeros(n)
 
     @staticmethod
     def inputs(evidence: np.ndarray, k: int, count: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -131,18 +189,24 @@ class Chain:
         rival = rest.max(axis=-1) if rest.shape[-1] else np.full(rest.shape[:-1], -9.0)
         return np.concatenate([np.stack([evidence[..., k], rival, np.log1p(count), np.ones_like(rival)], axis=-1), before], axis=-1)
 
-    def fit(self, evidence: np.ndarray, count: np.ndarray, y: np.ndarray) -> None:
+    def _links(self, evidence: np.ndarray, count: np.ndarray, y: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         for k in range(self.n):
             before = y.copy()
             before[:, k:] = 0
-            x = self.inputs(evidence, k, count, before)
-            w = np.zeros(x.shape[1])
-            w[0] = 1.0
-            for _ in range(12):  # Newton steps of a ridge logistic regression
-                p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-                h = (x * (p * (1 - p))[:, None]).T @ x + 1.0 * np.eye(x.shape[1])
-                w -= np.linalg.solve(h, x.T @ (p - y[:, k]) + 1.0 * w)
-            self.w[k] = w
+            yield k, self.inputs(evidence, k, count, before)
+
+    def fit(self, evidence: np.ndarray, count: np.ndarray, y: np.ndarray) -> None:
+        for k, x in self._links(evidence, count, y):
+            self.w[k] = _logistic(x, y[:, k], np.eye(x.shape[1])[0], 1.0)
+
+    def calibrate(self, evidence: np.ndarray, count: np.ndarray, y: np.ndarray) -> None:
+        """Scale and shift of every link's log-odds on rows that were not fitted on."""
+        for k, x in self._links(evidence, count, y):
+            z = np.stack([x @ self.w[k], np.ones(len(x))], axis=1)
+            self.scale[k], self.shift[k] = _logistic(z, y[:, k], np.array([1.0, 0.0]), 1.0)
+
+    def log_odds(self, k: int, x: np.ndarray) -> np.ndarray:
+        return np.clip((x @ self.w[k]) * self.scale[k] + self.shift[k], -30, 30)
 
     def decode(self, evidence: np.ndarray, count: np.ndarray) -> np.ndarray:
         """Likeliest combination of each row, by beam search along the chain."""
@@ -152,7 +216,7 @@ class Chain:
         for k in range(self.n):
             width = labels.shape[1]
             e, c = np.repeat(evidence[:, None], width, axis=1), np.repeat(count[:, None], width, axis=1)
-            z = np.clip(self.inputs(e, k, c, labels) @ self.w[k] - np.log(CUT / (1 - CUT)), -30, 30)
+            z = self.log_odds(k, self.inputs(e, k, c, labels))
             yes, no = -np.log1p(np.exp(-z)), -np.log1p(np.exp(z))
             on = labels.copy()
             on[:, :, k] = 1
@@ -170,74 +234,127 @@ class Model:
     def __reduce__(self):
         return Model, (self.subjects, self.units, self.chain)
 
-    def sentence(self, s: str) -> np.ndarray:
+    def _part(self, s: str) -> tuple[np.ndarray, int]:
         key = re.sub(r"\d+", "9", s)
         z = self.known.get(key)
         if z is None:
             if len(self.known) > KEEP_SENTENCES:
                 self.known.clear()
-            z = self.known[key] = self.units.score(features(key))
+            z = self.known[key] = self.units.part(*features(key))
         return z
 
-    def evidence(self, prompt: str | None) -> tuple[np.ndarray, int]:
-        parts = [self.sentence(s) for s in sentences(prompt)]
+    def evidence(self, prompt: str | None, platform: str | None = None) -> tuple[np.ndarray, int]:
+        origin = source("prompt", platform)
+        parts = [self.units.whole(self._part(s), origin) for s in sentences(prompt)]
         return (np.max(parts, axis=0), len(parts)) if parts else (np.full(len(self.subjects), -9.0), 0)
 
-    def predict(self, prompts: list[str | None]) -> list[list[str]]:
+    def predict(self, prompts: list[str | None], platforms: list[str | None] | None = None) -> list[list[str]]:
         if not prompts or not self.subjects:
             return [[] for _ in prompts]
-        pairs = [self.evidence(p) for p in prompts]
+        pairs = [self.evidence(p, q) for p, q in zip(prompts, platforms or [None] * len(prompts))]
         got = self.chain.decode(np.stack([e for e, _ in pairs]).astype(float), np.array([c for _, c in pairs], dtype=float))
         return [[s for s, on in zip(self.subjects, row) if on] if c else [] for row, (_, c) in zip(got, pairs)]
 
 
+class Sentences:
+    """Labelled sentences of the fit."""
+
+    def __init__(self):
+        self.terms, self.extra, self.label, self.weight = [], [], [], []
+
+    def add(self, text: str | None, k: int, weight: float, origin: list[int], times: int = 1) -> None:
+        for s in sentences(text):
+            t, x = features(s)
+            for _ in range(times):
+                self.terms.append(t or [0])
+                self.extra.append(x + origin)
+                self.label.append(k)
+                self.weight.append(weight)
+
+    def units(self, n: int, *more: "Sentences") -> Units:
+        """Units fitted on these sentences and more."""
+        every = (self, *more)
+        units = Units(n)
+        if any(s.terms for s in every):
+            units.fit([t for s in every for t in s.terms], [x for s in every for x in s.extra], np.array([k for s in every for k in s.label]), np.array([w for s in every for w in s.weight], dtype=np.float32))
+        return units
+
+
+def _together(evidence: list[np.ndarray], n: int) -> tuple[np.ndarray, float]:
+    """How often two subjects stand in one prompt by the units, smoothed, and the share of prompts with several subjects."""
+    on = (np.array(evidence).reshape(-1, n) > 0).astype(float)
+    meet = on.T @ on + 1.0
+    np.fill_diagonal(meet, 0)
+    return meet, float(np.clip((on.sum(axis=1) > 1).mean() if len(on) else 0.0, 0.1, 0.5))
+
+
+def composed(samples: list[tuple[str, int]], model: Model, meet: np.ndarray, several: float, rng: np.random.Generator) -> list[tuple[np.ndarray, int, np.ndarray]]:
+    """(evidence, sentences, subjects) of prompts put together from labelled samples: alone, with one or two partners
+    of other subjects, and a seventh of them without any term of a subject."""
+    n = len(model.subjects)
+    of = [[i for i, (_, k) in enumerate(samples) if k == j] for j in range(n)]
+    origin, out = source("prompt", None), []
+    for _ in range(COMPOSED):
+        for text, k in samples:
+            chosen, truth = [text], {k}
+            dice = rng.random()
+            for _ in range((dice < several) + (dice < several / 6)):
+                odds = meet[list(truth)].sum(axis=0) * [bool(of[j]) and j not in truth for j in range(n)]
+                if odds.sum() > 0:
+                    j = int(rng.choice(n, p=odds / odds.sum()))
+                    chosen.append(samples[of[j][rng.integers(len(of[j]))]][0])
+                    truth.add(j)
+            parts = [s for t in chosen for s in sentences(t)]
+            if not parts:
+                continue
+            y = np.zeros(n)
+            if rng.random() < 1 / 7:
+                scores = [model.units.whole(model.units.part([], features(s)[1]), origin) for s in parts]
+            else:
+                scores = [model.units.whole(model._part(s), origin) for s in parts]
+                y[list(truth)] = 1
+            out.append((np.max(scores, axis=0), len(parts), y))
+    return out
+
+
 def trained(areas: DataFrame, samples: DataFrame, documents: DataFrame, turns: DataFrame) -> Model:
+    """Units and chain from the tables, with at most FIT_SAMPLES, FIT_DOCUMENTS and FIT_PROMPTS rows; texts count whole."""
     names = sorted(r.subject for r in areas.select("subject").filter("subject is not null").distinct().collect())
     place = {s: i for i, s in enumerate(names)}
-    rows: list[list[int]] = []
-    labels: list[int] = []
-    weights: list[float] = []
-
-    def add(text: str | None, subject: str | None, weight: float) -> None:
-        k = place.get(subject or "")
-        if k is None:
-            return
-        for s in sentences(text):
-            rows.append(features(re.sub(r"\d+", "9", s)))
-            labels.append(k)
-            weights.append(weight)
-
-    for r in samples.select("text", "subject").limit(FIT_SAMPLES).collect():
-        for _ in range(3):
-            add(r.text, r.subject, 1.0)
+    n = len(names)
+    chain = Chain(n)
+    if not names:
+        return Model(names, Units(0), chain)
+    picked = samples.select("text", "subject").filter(F.col("text").isNotNull() & F.col("subject").isin(names)).orderBy(F.xxhash64("text"), "text", "subject").limit(FIT_SAMPLES)
+    labelled = [(r.text, place[r.subject]) for r in picked.collect()]
+    halves = [Sentences(), Sentences()]
+    for i, (text, k) in enumerate(labelled):
+        halves[i % 2].add(text, k, 1.0, source("prompt", None), times=3)
+    weak = Sentences()
     slug = F.regexp_extract("url", r"^https?://[^/]+/([a-z]+)-\d+", 1)
-    pages = documents.filter("text is not null and url is not null").select(F.xxhash64("doc_id").alias("h"), "doc_id", F.substring("text", 1, DOCUMENT_CHARS).alias("text"), slug.alias("s")).filter(F.col("s").isin(names))
+    pages = documents.filter("text is not null and url is not null").select(F.xxhash64("doc_id").alias("h"), "doc_id", "text", "platform" if "platform" in documents.columns else F.lit(None).cast("string").alias("platform"), slug.alias("s")).filter(F.col("s").isin(names))
     for r in pages.orderBy("h", "doc_id").limit(FIT_DOCUMENTS).collect():
-        add(r.text, r.s, 0.5)
+        weak.add(r.text, place[r.s], 0.5, source("page", r.platform))
     topic = F.lower(F.regexp_replace(F.regexp_replace("topic", r"(?i)/misc", ""), r"^\s+|\s+$", ""))
     kinds = [k for k, v in TOPIC_SUBJECT.items() if v in place]
-    weak = turns.select(F.xxhash64("row_id").alias("h"), "row_id", topic.alias("t"), current_prompt(F.col("user_msg_history")).alias("p")).filter(F.col("t").isin(kinds) & F.col("p").isNotNull())
-    prompts = [(r.p, place[TOPIC_SUBJECT[r.t]]) for r in weak.orderBy("h", "row_id").limit(FIT_PROMPTS).collect()]
-    for p, k in prompts:
-        add(p, names[k], 1.0)
-    units = Units(len(names))
-    y = np.zeros((len(rows), len(names)), dtype=np.float32)
-    y[np.arange(len(rows)), labels] = 1
-    chain = Chain(len(names))
-    model = Model(names, units, chain)
+    platform = F.col("platform") if "platform" in turns.columns else F.lit(None).cast("string")
+    topical = turns.select(F.xxhash64("row_id").alias("h"), "row_id", topic.alias("t"), platform.alias("f"), current_prompt(F.col("user_msg_history")).alias("p")).filter(F.col("t").isin(kinds) & F.col("p").isNotNull())
+    prompts = topical.orderBy("h", "row_id").limit(FIT_PROMPTS).collect()
+    for r in prompts:
+        weak.add(r.p, place[TOPIC_SUBJECT[r.t]], 1.0, source("prompt", r.f))
+    model = Model(names, weak.units(n, *halves), chain)
+    meet, several = _together([e for e, c in (model.evidence(r.p, r.f) for r in prompts) if c], n)
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(2):
+        unseen = Model(names, weak.units(n, halves[1 - i]), chain)
+        rows += composed(labelled[i::2], unseen, meet, several, rng)
     if rows:
-        counts = np.bincount(np.concatenate([np.array(r, dtype=np.int64) for r in rows]), minlength=1 << BITS)
-        rows = [[i for i in r if counts[i] >= LEAST_COUNT] or [0] for r in rows]
-        units.fit(rows, y, np.array(weights, dtype=np.float32))
-    chain.w[:, :1] = 1.0
-    if prompts and names:
-        pairs = [model.evidence(p) for p, _ in prompts]
-        e, c = np.stack([a for a, _ in pairs]).astype(float), np.array([n for _, n in pairs], dtype=float)
-        target = (e > np.log(CUT / (1 - CUT))).astype(float)
-        own = np.array([k for _, k in prompts])
-        sure = e[np.arange(len(prompts)), own] > np.log(0.1 / 0.9)
-        target[np.arange(len(prompts))[sure], own[sure]] = 1
-        chain.fit(e, c, target)
+        held = rng.random(len(rows)) < HELD_OUT
+        e, c, y = np.stack([a for a, _, _ in rows]).astype(float), np.array([b for _, b, _ in rows], dtype=float), np.stack([t for _, _, t in rows])
+        chain.fit(e[~held], c[~held], y[~held])
+        if held.any():
+            chain.calibrate(e[held], c[held], y[held])
     return model
 
 
@@ -248,10 +365,12 @@ def subject_rows(turns: DataFrame, model: Model) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            keys, prompts, out = f["k"].tolist(), f["p"].tolist(), []
+            keys, prompts, platforms, out = f["k"].tolist(), f["p"].tolist(), f["f"].tolist(), []
             for at in range(0, len(keys), 2_000):
-                out += [(k, s) for k, got in zip(keys[at : at + 2_000], shared.value.predict(prompts[at : at + 2_000])) for s in got]
+                part = slice(at, at + 2_000)
+                out += [(k, s) for k, got in zip(keys[part], shared.value.predict(prompts[part], platforms[part])) for s in got]
             yield pd.DataFrame(out, columns=["row_id", "subject"])
 
-    slim = turns.select(F.col("row_id").alias("k"), current_prompt(F.col("user_msg_history")).alias("p")).filter("p is not null")
+    platform = F.col("platform") if "platform" in turns.columns else F.lit(None).cast("string")
+    slim = turns.select(F.col("row_id").alias("k"), platform.alias("f"), current_prompt(F.col("user_msg_history")).alias("p")).filter("p is not null")
     return slim.mapInPandas(run, f"row_id {kind}, subject string")
