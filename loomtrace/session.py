@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,13 +31,17 @@ def local_session(app: str = "loomtrace", cpus: int | None = None) -> SparkSessi
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) a folder of our own is used.
+    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only in local mode, where one machine is
+    all there is, a folder of our own may stand in for it; on a cluster a missing setting is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomtrace-checkpoint-"))
+        if not named:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="loomtrace-checkpoint-")
+        sc.setCheckpointDir(named)
     return df.checkpoint(eager=True)
 
 
