@@ -1,16 +1,22 @@
 """Problem 7: conversations rebuilt from message rows.
 
-Timestamps are unreliable here, so the rows of a conversation are not split at inactivity gaps; the parent
-links order them (see the README). States of one message are reduced first, damaged conversations are dropped,
-the path of first children is followed from the start, roles are inferred from the spelling of the author,
-and conversations without reciprocal replies are dropped.
+``sessionise`` turns the rows of a channel into sessions: states of one message are reduced to the newest, timestamps
+are repaired and sorted, the rows are split at inactivity gaps that are calibrated for each platform (a quantile of its
+own gaps), roles are inferred from the spelling of the author, and sessions without reciprocal replies are dropped.
 
-Conversations of up to ``GROUP_ROWS`` rows are walked one by one; the ids of larger ones are few (rows divided
-by that bound) and these are walked by pointer doubling over joins, so no task ever holds a whole large one.
+Where the rows name their parents, timestamps as unreliable as these are no match for the links: ``rebuild`` is the
+same operator with the order and the limits of a session taken from the links (every conversation with one start and
+without a lost parent is one session in the order of its first children). Roles and reciprocal replies are shared.
+The README states how far the two differ.
+
+Conversations of up to ``GROUP_ROWS`` rows are walked one by one; larger ones, found by a join, are walked by pointer
+doubling over joins, so no task ever holds a whole large one. Windows over time or depth run in blocks whose sums are
+chained, so a huge channel is spread over its blocks.
 
 Defined results: rows with a null conversation or message id belong to no conversation; of equally new states
 of a message the highest ``msg_row`` holds; children of equal ``child_no`` are taken by ``msg_id``, null
-``child_no`` last; unknown roles are never spoken.
+``child_no`` last; unknown roles are never spoken. A message without a time takes that of its parent, else the
+earliest of its channel; a channel without any time is one session in order of ``msg_row``.
 """
 
 from __future__ import annotations
@@ -25,6 +31,10 @@ from pyspark.sql import functions as F
 from loomtrace.session import checkpointed
 
 GROUP_ROWS = 20_000
+#: Quantile of a platform's gaps above which a gap ends a session, and the width of a block of time.
+GAP_QUANTILE = 0.99
+BLOCK_SECONDS = 21_600
+BLOCK_DEPTH = 10_000
 
 # Spellings of the two speakers.
 USER = ("user", "human", "prompter", "customer", "you")
@@ -41,9 +51,8 @@ def speaker_of(role: Column) -> Column:
     return F.when(r.isin(*USER), "user").when(r.isin(*ASSISTANT), "assistant")
 
 
-def current_messages(rows: DataFrame) -> DataFrame:
-    """One row per (conv_id, msg_id) with what the walk needs; bodies are left behind."""
-    state = F.struct("batch_no", "msg_row", "parent_id", "child_no", "author_role", "recipient", "content_type", F.regexp_replace("body", BLANK, "").alias("seen"))
+def current_messages(rows: DataFrame, **more: Column) -> DataFrame:
+    """One row per (conv_id, msg_id) with what the walk needs, and more columns of the newest state; bodies are left behind."""
     slim = rows.filter("conv_id is not null and msg_id is not null").select(
         "conv_id",
         "msg_id",
@@ -55,13 +64,14 @@ def current_messages(rows: DataFrame) -> DataFrame:
             F.when(
                 F.coalesce(F.col("recipient") == "all", F.lit(True))
                 & F.col("content_type").isin("text", "multimodal_text")
-                & F.coalesce(F.length(state["seen"]) > 0, F.lit(False)),
+                & F.coalesce(F.length(F.regexp_replace("body", BLANK, "")) > 0, F.lit(False)),
                 speaker_of(F.col("author_role")),
             ).alias("speaker"),
+            *[c.alias(name) for name, c in more.items()],
         ).alias("state"),
     )
     best = slim.groupBy("conv_id", "msg_id").agg(F.max("state").alias("s"))
-    return best.select("conv_id", "msg_id", "s.parent", "s.child_no", "s.speaker")
+    return best.select("conv_id", "msg_id", "s.parent", "s.child_no", "s.speaker", *[F.col(f"s.{c}") for c in more])
 
 
 def reciprocal(speakers: list[str]) -> bool:
@@ -121,7 +131,7 @@ def _walk_large(messages: DataFrame) -> DataFrame:
     rank = F.struct(F.col("child_no").isNull().alias("n"), F.coalesce("child_no", F.lit(0)).alias("c"), "msg_id")
     first = m.filter("parent is not null").groupBy("conv_id", "parent").agg(F.min(rank).alias("r")).select("conv_id", F.col("parent").alias("msg_id"), F.col("r.msg_id").alias("next"))
     # reach: nodes known to lie on the path with their distance from the start; jump: node -> node 2^k steps ahead
-    reach = checkpointed(m.join(F.broadcast(sound), "conv_id", "left_semi").filter("parent is null").select("conv_id", "msg_id", F.lit(0).cast("bigint").alias("depth")))
+    reach = checkpointed(m.join(sound, "conv_id", "left_semi").filter("parent is null").select("conv_id", "msg_id", F.lit(0).cast("bigint").alias("depth")))
     jump = checkpointed(first)
     step = 1
     while True:
@@ -134,51 +144,84 @@ def _walk_large(messages: DataFrame) -> DataFrame:
         jump = checkpointed(jump.join(onward, ["conv_id", "next"]).select("conv_id", "msg_id", F.col("further").alias("next")))
         step *= 2
     spoken = reach.join(m.filter("speaker is not null").select("conv_id", "msg_id", "speaker"), ["conv_id", "msg_id"])
-    # positions by blocks of depth: a window inside each block, then the sums of the blocks before it
-    size = 10_000
-    spoken = spoken.withColumn("block", F.floor(F.col("depth") / size))
-    inner = W.partitionBy("conv_id", "block").orderBy("depth")
-    marked = checkpointed(
-        spoken.select(
-            "*",
-            F.row_number().over(inner).alias("n"),
-            F.lag("speaker").over(inner).alias("before"),
-        )
-    )
-    blocks = marked.groupBy("conv_id", "block").agg(
+    return _reciprocal(checkpointed(spoken.withColumn("block", F.floor(F.col("depth") / BLOCK_DEPTH))), ["conv_id"], ["depth"])
+
+
+def _reciprocal(spoken: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """(key, pos, msg_id, speaker) of the sessions with reciprocal replies; ``order`` is settled within and between blocks."""
+    inner = W.partitionBy(*key, "block").orderBy(*order)
+    place = F.struct(*order)
+    marked = spoken.select("*", F.row_number().over(inner).alias("n"), F.lag("speaker").over(inner).alias("before"))
+    blocks = marked.groupBy(*key, "block").agg(
         F.count("*").alias("size"),
-        F.min_by("speaker", "depth").alias("first"),
-        F.max_by("speaker", "depth").alias("last"),
+        F.min_by("speaker", place).alias("first"),
+        F.max_by("speaker", place).alias("last"),
         F.count_if((F.col("speaker") == "user") & (F.col("before") == "user")).alias("bad"),
     )
-    order = W.partitionBy("conv_id").orderBy("block")
+    outer = W.partitionBy(*key).orderBy("block")
     chained = blocks.select(
         "*",
-        F.coalesce(F.sum("size").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("offset"),
-        F.lag("last").over(order).alias("prior"),
+        F.coalesce(F.sum("size").over(outer.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("offset"),
+        F.lag("last").over(outer).alias("prior"),
     )
     good = (
-        chained.groupBy("conv_id")
+        chained.groupBy(*key)
         .agg(
             F.sum(F.col("bad") + F.when((F.col("prior") == "user") & (F.col("first") == "user"), 1).otherwise(0)).alias("bad"),
             F.min_by("first", "block").alias("first"),
             F.max_by("last", "block").alias("last"),
         )
         .filter("bad = 0 and first = 'user' and last = 'assistant'")
-        .select("conv_id")
+        .select(*key)
     )
     return (
-        marked.join(chained.select("conv_id", "block", "offset"), ["conv_id", "block"])
-        .join(good, "conv_id", "left_semi")
-        .select("conv_id", (F.col("n") + F.col("offset")).cast("bigint").alias("pos"), "msg_id", "speaker")
+        marked.join(chained.select(*key, "block", "offset"), [*key, "block"])
+        .join(good, key, "left_semi")
+        .select(*key, (F.col("n") + F.col("offset")).cast("bigint").alias("pos"), "msg_id", "speaker")
     )
 
 
+def seconds(time: Column) -> Column:
+    """Epoch seconds of a number of seconds or milliseconds; what is no time after 1970 is null."""
+    t = F.when(~F.isnan(time) & (time > 0) & (time < 1e15), time)
+    return F.when(t > 1e12, t / 1000).otherwise(t)
+
+
+def repaired(rows: DataFrame) -> DataFrame:
+    """The newest states with a time for each message and the platform it is calibrated by."""
+    m = current_messages(rows, row=F.col("msg_row"), time=seconds(F.col("create_time")), platform=F.lower(F.trim(F.coalesce("platform", F.lit("")))))
+    parents = m.select("conv_id", F.col("msg_id").alias("parent"), F.col("time").alias("above")).filter("above is not null")
+    earliest = m.groupBy("conv_id").agg(F.min("time").alias("start"))
+    whole = m.join(parents, ["conv_id", "parent"], "left").join(earliest, "conv_id")
+    return whole.select("conv_id", "msg_id", "row", "speaker", "platform", F.coalesce("time", "above", "start", F.lit(0.0)).alias("time"))
+
+
+def split_at_gaps(messages: DataFrame, channel: str = "conv_id", quantile: float = GAP_QUANTILE) -> DataFrame:
+    """``messages`` with the number of their session in the channel and their block of time."""
+    m = messages.withColumn("block", F.floor(F.col("time") / BLOCK_SECONDS))
+    inner = W.partitionBy(channel, "block").orderBy("time", "row", "msg_id")
+    m = m.withColumn("before", F.lag("time").over(inner))
+    ends = m.groupBy(channel, "block").agg(F.min("time").alias("first"), F.max("time").alias("last"))
+    ends = ends.withColumn("prior", F.lag("last").over(W.partitionBy(channel).orderBy("block"))).select(channel, "block", "prior")
+    m = m.join(ends, [channel, "block"]).withColumn("gap", F.col("time") - F.coalesce("before", "prior"))
+    limit = m.filter("gap > 0").groupBy("platform").agg(F.percentile_approx("gap", quantile, 10_000).alias("limit"))
+    m = m.join(limit, "platform", "left").withColumn("new", F.coalesce((F.col("gap") > F.col("limit")).cast("int"), F.lit(0)))
+    breaks = m.groupBy(channel, "block").agg(F.sum("new").alias("breaks"))
+    breaks = breaks.withColumn("offset", F.coalesce(F.sum("breaks").over(W.partitionBy(channel).orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("breaks")
+    running = F.sum("new").over(inner.rowsBetween(W.unboundedPreceding, 0))
+    return m.join(breaks, [channel, "block"]).withColumn("session", (running + F.col("offset")).cast("bigint"))
+
+
+def sessionise(rows: DataFrame, quantile: float = GAP_QUANTILE) -> DataFrame:
+    """(conv_id, session, pos, msg_id, speaker) of the spoken messages of every session with reciprocal replies, by time and gaps alone."""
+    m = split_at_gaps(repaired(rows), quantile=quantile).filter("speaker is not null")
+    return _reciprocal(m.select("conv_id", "session", "block", "time", "row", "msg_id", "speaker"), ["conv_id", "session"], ["time", "row", "msg_id"])
+
+
 def rebuild(rows: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """(conv_id, pos, msg_id, speaker) of every spoken message of the sound conversations."""
+    """(conv_id, pos, msg_id, speaker) of every spoken message of the sound conversations: sessions by their links."""
     messages = current_messages(rows)
-    large = [r.conv_id for r in rows.filter("conv_id is not null").groupBy("conv_id").count().filter(F.col("count") > group_rows).select("conv_id").collect()]
-    if not large:
+    large = checkpointed(rows.filter("conv_id is not null").groupBy("conv_id").count().filter(F.col("count") > group_rows).select("conv_id"))
+    if large.isEmpty():
         return _walk_small(messages)
-    is_large = F.col("conv_id").isin(large)
-    return _walk_small(messages.filter(~is_large)).unionByName(_walk_large(messages.filter(is_large)))
+    return _walk_small(messages.join(large, "conv_id", "left_anti")).unionByName(_walk_large(messages.join(large, "conv_id", "left_semi")))

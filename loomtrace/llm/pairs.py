@@ -1,12 +1,14 @@
 """Problem 2: defective prompt and answer pairs, found by ordered rules.
 
 The rules look for emptiness, copied prompts, refusals in nine languages, abrupt endings (unclosed code
-blocks, sentences without an end) and answers in a language that the prompt neither uses nor asks for.
-``triggered`` gives every rule that fires; a pair's defect is the first of them in the order of ``DEFECTS``.
+blocks, sentences without an end, dots in place of the rest, list numbers without an item) and answers in a language
+that the prompt neither uses nor asks for. ``triggered_pairs`` gives every rule that fires with its rank in the order
+of ``DEFECTS``; a pair's defect is the one of the first rank.
 
 A short answer without a full stop is either a direct answer ("About 10 percent") or the beginning of a
 sentence. That is decided by the corpus: the openings (first words) that make up at least ``OPENING_SHARE``
-of all finished sentences, at most 1/OPENING_SHARE of them, are gathered over all rows.
+of all finished sentences, at most 1/OPENING_SHARE of them, are gathered over all rows. They can be fitted once and
+kept (``loomtrace.llm.models``), so that a pair gets the same label in any later table.
 
 Defined results: a null or missing answer is ``empty`` whatever the prompt; a null history has no pairs; null
 prompts take part with the rules that need no prompt.
@@ -68,6 +70,7 @@ COURTESY = re.compile(
 )
 LEAD = re.compile(r"^(?:q|you asked|question|prompt|user|frage|pregunta|domanda|pergunta|vraag|вопрос|问题|问)\s*[:：]\s*", re.IGNORECASE)
 _END = re.compile(r"[.!?。！？…؟:](?:[\"'»”’)\]}*_]|\s)*$")
+_DOTS = re.compile(r"\w(?:\.{3}|…)[\"'»”’)\]]*$")
 _SENTENCE_GAP = re.compile(r"(?<=[.!?。！？…])[\"'»”)\]]*\s+|(?<=[。！？])")
 _LINK_END = re.compile(r"(?:https?://|www\.)[^\s]+[)\]>]?$")
 _ITEM = re.compile(r"^\s*(?:[-*•+]|\d{1,3}[.)])\s+\S")
@@ -100,8 +103,9 @@ def openings(turns: DataFrame, answers: str = "assistant_msg_history") -> frozen
     )
     first = F.when(F.col("s").rlike(r"^[㐀-鿿]"), F.substring("s", 1, 6)).otherwise(F.array_join(F.slice(F.split("s", r"(?U)\s+"), 1, OPENING_WORDS), " "))
     counted = sentence.groupBy(first.alias("o")).agg(F.count("*").alias("n"))
-    total = sentence.count()
-    return frozenset(r.o for r in counted.filter(F.col("n") >= max(3, OPENING_SHARE * total)).select("o").collect() if len(r.o) >= 4)
+    total = counted.agg(F.sum("n").alias("total"))  # one row, over the same shuffle as the counts
+    kept = counted.join(F.broadcast(total)).filter((F.col("n") >= OPENING_SHARE * F.col("total")) & (F.col("n") >= 3) & (F.length("o") >= 4))
+    return frozenset(r.o for r in kept.select("o").collect())
 
 
 def is_copy(prompt: str | None, answer: str) -> bool:
@@ -140,7 +144,9 @@ def is_truncated(answer: str, begun: frozenset[str], stems: frozenset[str]) -> b
         if _END.search(body):
             return False
         return last.endswith((",", "，", ";", "-", ":")) or len(body.split()) > SHORT_WORDS or opening(body) in begun or opening(body) in stems
-    if re.fullmatch(r"\s*[-*•+]\s*", last):
+    if re.fullmatch(r"\s*(?:[-*•+]|\d{1,3}[.)])\s*", last) and last != text:
+        return True
+    if _DOTS.search(text):
         return True
     if _END.search(text):
         return text.endswith((":", "：")) and len(text) > 20
@@ -203,8 +209,8 @@ class Rules:
                 yield "wrong_language"
 
 
-def defective_pairs(turns: DataFrame, model: language.Model, begun: frozenset[str]) -> DataFrame:
-    """(row_id, pair_no, defect) of every defective pair of the two histories."""
+def triggered_pairs(turns: DataFrame, model: language.Model, begun: frozenset[str]) -> DataFrame:
+    """(row_id, pair_no, defect, rank) of every rule that fires on a pair of the two histories, ranks from 1."""
     kind = dict(turns.dtypes)["row_id"]
     shared = turns.sparkSession.sparkContext.broadcast((model, begun))
 
@@ -217,10 +223,14 @@ def defective_pairs(turns: DataFrame, model: language.Model, begun: frozenset[st
                 for i, prompt in enumerate(prompts):
                     pair = (prompt, answers[i] if i < n else None)
                     if pair not in known:
-                        known[pair] = next(rules.triggered(*pair), None)
-                    if known[pair]:
-                        out.append((key, i + 1, known[pair]))
-            yield pd.DataFrame(out, columns=["row_id", "pair_no", "defect"])
+                        known[pair] = tuple(rules.triggered(*pair))
+                    out.extend((key, i + 1, defect, rank) for rank, defect in enumerate(known[pair], 1))
+            yield pd.DataFrame(out, columns=["row_id", "pair_no", "defect", "rank"])
 
     slim = turns.select("row_id", F.col("user_msg_history").alias("u"), F.col("assistant_msg_history").alias("a")).filter("u is not null")
-    return slim.mapInPandas(run, f"row_id {kind}, pair_no bigint, defect string")
+    return slim.mapInPandas(run, f"row_id {kind}, pair_no bigint, defect string, rank int")
+
+
+def defective_pairs(turns: DataFrame, model: language.Model, begun: frozenset[str]) -> DataFrame:
+    """(row_id, pair_no, defect) of every defective pair: the triggered type of the first rank."""
+    return triggered_pairs(turns, model, begun).filter("rank = 1").drop("rank")

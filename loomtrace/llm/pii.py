@@ -181,14 +181,12 @@ def _per_text(turns: DataFrame, history: str, msgs: str, rows: Callable[[str], l
 
 def learn(turns: DataFrame, history: str = "user_msg_history", msgs: str = "turn_msgs") -> Lexicon:
     """Count over both fields: the ratios over distinct texts, ``SUPPORT`` and ``SHARE`` over occurrences. What comes back is bounded by 1/SHARE of the introductions (terms) and of the addresses (towns)."""
-    from loomtrace.session import checkpointed
-
     introduced = _per_text(turns, history, msgs, lambda t: list(_introduced(t)), "kind string, term string", every=True)
     by_text = introduced.groupBy("kind", "term", "h").agg(F.count("*").alias("n"))
-    per = checkpointed(by_text.groupBy("kind", "term").agg(F.sum("n").alias("n"), F.count("*").alias("texts")))
-    sums = per.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts")).collect()
-    totals, cued_texts = {r.kind: r.n for r in sums}, {r.kind: r.texts for r in sums}
-    kept = per.filter(F.col("n") >= F.when(F.col("kind") == "cue", max(SUPPORT, totals.get("cue", 0) / SHARE)).otherwise(max(SUPPORT, totals.get("town", 0) / SHARE))).collect()
+    per = by_text.groupBy("kind", "term").agg(F.sum("n").alias("n"), F.count("*").alias("texts"))
+    sums = per.groupBy("kind").agg(F.sum("n").alias("all_n"), F.sum("texts").alias("all_texts"))  # two rows, over the same shuffle
+    kept = per.join(F.broadcast(sums), "kind").filter((F.col("n") >= SUPPORT) & (F.col("n") >= F.col("all_n") / SHARE)).collect()
+    cued_texts = {r.kind: r.all_texts for r in kept}
     cue = {r.term: r.texts for r in kept if r.kind == "cue"}
     places = {r.term: r.n for r in kept if r.kind == "town"}
     shared = turns.sparkSession.sparkContext.broadcast(frozenset(cue))

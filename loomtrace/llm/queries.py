@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtrace.llm import conversations, language, leakage, pairs, pii, reading, subjects, tokens
+from loomtrace.llm import conversations, language, leakage, models, pairs, pii, reading, subjects, tokens
 from loomtrace.session import spread, table
 
 
 def _language_model(spark: SparkSession, d: str) -> language.Model:
     turns = table(spark, d, "web_data_summary").select("row_id", "language", "user_msg_history")
-    return language.trained(table(spark, d, "subject_samples"), table(spark, d, "documents"), turns)
+    return models.fitted(spark, "language", lambda: language.trained(table(spark, d, "subject_samples"), table(spark, d, "documents"), turns))
+
+
+def _openings(spark: SparkSession, turns: DataFrame) -> frozenset[str]:
+    return models.fitted(spark, "openings", lambda: pairs.openings(turns))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -26,12 +30,18 @@ def p1_segments(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     turns = spread(table(spark, d, "web_data_summary").select("row_id", "user_msg_history", "assistant_msg_history"))
-    return pairs.defective_pairs(turns, _language_model(spark, d), pairs.openings(turns))
+    return pairs.defective_pairs(turns, _language_model(spark, d), _openings(spark, turns))
+
+
+def p2_triggered(spark: SparkSession, d: str) -> DataFrame:
+    """Every defect type that a pair triggers, in the order of the rules."""
+    turns = spread(table(spark, d, "web_data_summary").select("row_id", "user_msg_history", "assistant_msg_history"))
+    return pairs.triggered_pairs(turns, _language_model(spark, d), _openings(spark, turns))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     turns = table(spark, d, "web_data_summary").select("row_id", "topic", "platform", "user_msg_history")
-    model = subjects.trained(table(spark, d, "subject_areas"), table(spark, d, "subject_samples"), table(spark, d, "documents"), turns)
+    model = models.fitted(spark, "subjects", lambda: subjects.trained(table(spark, d, "subject_areas"), table(spark, d, "subject_samples"), table(spark, d, "documents"), turns))
     return subjects.subject_rows(spread(turns), model)
 
 
@@ -50,6 +60,11 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return conversations.rebuild(table(spark, d, "turn_messages"))
 
 
+def p7_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions by repaired timestamps and calibrated gaps alone."""
+    return conversations.sessionise(table(spark, d, "turn_messages"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(spread(table(spark, d, "documents").select("doc_id", "text")))
 
@@ -65,7 +80,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict:
     return {
         f.__name__: f
-        for f in (p1_found, p1_segments, p2_found, p3_found, p4_found, p4_sanitised, p7_found, p8_ids, p9_found, p10_found)
+        for f in (p1_found, p1_segments, p2_found, p2_triggered, p3_found, p4_found, p4_sanitised, p7_found, p7_sessions, p8_ids, p9_found, p10_found)
     }
 
 
