@@ -8,7 +8,9 @@ every enclosing list, the definition level tells objects from nulls and scalars.
 
 Defined results: null text and invalid JSON (cut off, NaN, trailing text) give no rows; null elements are no
 nodes but keep their position; a single object in one of the named list fields counts as a list of one, and
-JSON text in such a field is read in its place; text there that is no JSON list or object is an ordinary value.
+JSON text in such a field is read in its place, however often it is text in text; text there that is no JSON list or
+object is an ordinary value. All walks keep their own stack, so a record may be nested as deeply as the parser allows;
+what the parser refuses as too deep gives no rows, like invalid JSON.
 """
 
 from __future__ import annotations
@@ -46,9 +48,7 @@ def parse(text: str | None):
 
 def as_list(value):
     """What stands in a list field: text is read as JSON, a single object becomes a list of one."""
-    for _ in range(8):
-        if not isinstance(value, str):
-            break
+    while isinstance(value, str):
         try:
             inner = parse(value)
         except Invalid:
@@ -59,7 +59,7 @@ def as_list(value):
     return [value] if isinstance(value, dict) else value
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     """A place in the schema: it may be seen as a scalar, an object and a list in different records."""
 
@@ -67,6 +67,7 @@ class Node:
     lists: int
     level: int
     scalar: bool = False
+    leaf: bool = False
     fields: dict[str, "Node"] = field(default_factory=dict)
     element: "Node | None" = None
     rep: list[int] = field(default_factory=list)
@@ -74,7 +75,7 @@ class Node:
     values: list = field(default_factory=list)
     marks_rep: list[int] = field(default_factory=list)
     marks_dfn: list[int] = field(default_factory=list)
-    below: list[tuple] = field(default_factory=list)
+    below: list[tuple] | None = None
 
     def child(self, name: str) -> "Node":
         if name not in self.fields:
@@ -87,26 +88,40 @@ class Node:
         return self.element
 
 
-def learn(node: Node, value, structure_only: bool) -> None:
+def learn(root: Node, value, structure_only: bool) -> None:
     """Widen the schema by one value."""
-    if isinstance(value, dict):
-        for k, v in value.items():
-            if v is None:
-                continue
-            if k in LIST_FIELDS:
-                learn(node.child(k), as_list(v), structure_only)
-            elif not structure_only or isinstance(v, (dict, list)):
-                learn(node.child(k), v, structure_only)
-    elif isinstance(value, list):
-        e = node.items()
-        for v in value:
-            if v is not None:
-                learn(e, v, structure_only)
-    elif not structure_only:
-        node.scalar = True
+    stack = [(root, value)]
+    while stack:
+        node, value = stack.pop()
+        if isinstance(value, dict):
+            fields = node.fields
+            for k, v in value.items():
+                if v is None:
+                    continue
+                if k in LIST_FIELDS:
+                    v = as_list(v)
+                nested = isinstance(v, (dict, list))
+                if structure_only and not nested:
+                    continue
+                child = fields.get(k) or node.child(k)
+                if nested:
+                    stack.append((child, v))
+                else:
+                    child.scalar = True
+        elif isinstance(value, list):
+            e = node.items()
+            for v in value:
+                if isinstance(v, (dict, list)):
+                    stack.append((e, v))
+                elif v is not None and not structure_only:
+                    e.scalar = True
+        elif not structure_only:
+            node.scalar = True
 
 
 def _absent(node: Node, rep: int, dfn: int) -> None:
+    if node.below is None:
+        node.below = columns_below(node)
     for r, d, values in node.below:
         r.append(rep)
         d.append(dfn)
@@ -114,68 +129,94 @@ def _absent(node: Node, rep: int, dfn: int) -> None:
             values.append(None)
 
 
-def emit(node: Node, value, rep: int) -> None:
-    """Append one value's levels to every column below ``node``; the value is present, so its level is reached."""
-    is_object, is_list = isinstance(value, dict), isinstance(value, list)
-    if node.scalar:
-        plain = not is_object and not is_list
-        node.rep.append(rep)
-        node.dfn.append(node.level + 1 if plain else node.level)
-        node.values.append(value if plain else None)
-    for name, child in node.fields.items():
-        v = value.get(name) if is_object else None
-        if v is not None and name in LIST_FIELDS:
-            v = as_list(v)
-        if v is None:
-            _absent(child, rep, node.level)
-        else:
-            emit(child, v, rep)
-    e = node.element
-    if e is None:
-        return
-    if not is_list or not value:
+def emit(root: Node, value, rep: int) -> None:
+    """Append one value's levels to every column below ``root``; the value is present, so its level is reached.
+
+    Null elements wait on the stack like all others, as they fill the same columns as their neighbours.
+    """
+    stack = [(root, value, rep)]
+    push, pop = stack.append, stack.pop
+    while stack:
+        node, value, rep = pop()
+        level = node.level
+        if value is None:
+            _absent(node, rep, level)
+            continue
+        is_object = isinstance(value, dict)
+        is_list = not is_object and isinstance(value, list)
+        if node.scalar:
+            plain = not is_object and not is_list
+            node.rep.append(rep)
+            node.dfn.append(level + 1 if plain else level)
+            node.values.append(value if plain else None)
+        if node.fields:
+            if is_object:
+                get = value.get
+                for name, child in node.fields.items():
+                    v = get(name)
+                    if v is None:
+                        _absent(child, rep, level)
+                        continue
+                    if name in LIST_FIELDS:
+                        v = as_list(v)
+                    if child.leaf and not isinstance(v, (dict, list)):
+                        child.rep.append(rep)
+                        child.dfn.append(level + 2)
+                        child.values.append(v)
+                    else:
+                        push((child, v, rep))
+            else:
+                for child in node.fields.values():
+                    _absent(child, rep, level)
+        e = node.element
+        if e is None:
+            continue
+        if not is_list or not value:
+            e.marks_rep.append(rep)
+            e.marks_dfn.append(level)
+            _absent(e, rep, level)
+            continue
+        n, lists = len(value), e.lists
         e.marks_rep.append(rep)
-        e.marks_dfn.append(node.level)
-        _absent(e, rep, node.level)
-        return
-    for i, v in enumerate(value):
-        r = rep if i == 0 else e.lists
-        e.marks_rep.append(r)
-        e.marks_dfn.append(e.level + 1 if isinstance(v, dict) else e.level)
-        if v is None:
-            _absent(e, r, e.level)
-        else:
-            emit(e, v, r)
+        e.marks_dfn.extend([level + 2 if isinstance(v, dict) else level + 1 for v in value])
+        if n > 1:
+            e.marks_rep.extend([lists] * (n - 1))
+            stack.extend([(e, value[i], lists) for i in range(n - 1, 0, -1)])
+        push((e, value[0], rep))
 
 
 def nodes_of(root: Node) -> Iterator[Node]:
-    yield root
-    for child in root.fields.values():
-        yield from nodes_of(child)
-    if root.element is not None:
-        yield from nodes_of(root.element)
-
-
-def pruned(node: Node) -> bool:
-    """Drop the branches without a column; whether anything is left of the node itself."""
-    node.fields = {k: c for k, c in node.fields.items() if pruned(c)}
-    if node.element is not None:
-        pruned(node.element)
-    return node.scalar or node.element is not None or bool(node.fields)
-
-
-def linked(node: Node) -> list[tuple]:
-    """Note at each node all columns that a missing value there must fill."""
-    node.below = [(node.rep, node.dfn, node.values)] if node.scalar else []
-    for child in node.fields.values():
-        node.below += linked(child)
-    if node.element is not None:
-        node.below += [(node.element.marks_rep, node.element.marks_dfn, None), *linked(node.element)]
-    return node.below
+    stack = [root]
+    while stack:
+        node = stack.pop()
+        yield node
+        if node.element is not None:
+            stack.append(node.element)
+        stack.extend(reversed(node.fields.values()))
+
+
+def pruned(root: Node) -> None:
+    """Drop the branches without a column."""
+    for node in reversed(list(nodes_of(root))):  # children before their parents
+        node.fields = {k: c for k, c in node.fields.items() if c.scalar or c.element is not None or c.fields}
+        node.leaf = node.scalar and not node.fields and node.element is None
+
+
+def columns_below(node: Node) -> list[tuple]:
+    """All columns that a missing value at a node must fill."""
+    out = []
+    for n in nodes_of(node):
+        if n.scalar:
+            out.append((n.rep, n.dfn, n.values))
+        if n.element is not None:
+            out.append((n.element.marks_rep, n.element.marks_dfn, None))
+    return out
 
 
 def shred(value, root: Node) -> None:
     """Fill the columns of ``root`` with the levels of one record (they are emptied first)."""
+    if root.below is None:
+        root.below = columns_below(root)
     for r, d, values in root.below:
         r.clear()
         d.clear()
@@ -246,7 +287,6 @@ def records(texts: list[str | None], structure_only: bool) -> Iterator[tuple[int
                 continue
             learn(root, parsed[-1][1], structure_only)
         pruned(root)
-        linked(root)
         columns = list(nodes_of(root))
         for i, value in parsed:
             shred(value, root)
@@ -295,14 +335,16 @@ def shredded(rows: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def parted(node: Node, at: Node | None = None) -> Iterator[tuple[Node | None, Node]]:
-    """Every column of values below ``node`` with the element of the nearest list around it."""
-    if node.scalar:
-        yield at, node
-    for child in node.fields.values():
-        yield from parted(child, at)
-    if node.element is not None:
-        yield from parted(node.element, node.element)
+def parted(root: Node) -> Iterator[tuple[Node | None, Node]]:
+    """Every column of values below ``root`` with the element of the nearest list around it."""
+    stack: list[tuple[Node | None, Node]] = [(None, root)]
+    while stack:
+        at, node = stack.pop()
+        if node.scalar:
+            yield at, node
+        if node.element is not None:
+            stack.append((node.element, node.element))
+        stack.extend((at, child) for child in reversed(node.fields.values()))
 
 
 def flat_rows(root: Node) -> Iterator[tuple[str, str, str | None, str | None, str | None]]:

@@ -4,7 +4,7 @@ Each text is turned into a shape mask (digit -> 9, letter -> a). Every distinct
 shapes below once, which gives the places of its fields; all texts of that mask are then converted together
 with array arithmetic. Wall times go through the transition table of their zone.
 
-Defined results: null, blank, over-long and unreadable texts and impossible dates give null (no row);
+Defined results: null, blank and unreadable texts and impossible dates give null (no row);
 fractions beyond microseconds are cut off; parts that are not written count as 0; a null or unknown platform
 falls back to the platform that begins ``conv_id``, and where none is known a wall time gives null while a
 time with its own zone is still converted.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from loomtrace.functions.zones import ZoneTable, zone_table
 
-MAX_TEXT = 128
+KEEP_MASK = 128
 MAX_CLOCKS = 10_000
 
 # Month names and zone abbreviations with a settled offset (minutes).
@@ -60,9 +60,12 @@ def shape_mask(text: str) -> str:
     return text.translate(_MASK)
 
 
-@lru_cache(maxsize=65_536)
 def places(mask: str) -> dict[str, tuple[int, int]] | None:
-    """Places of the fields in any text of this mask, or None if no shape fits."""
+    """Places of the fields in any text of this mask, or None if no shape fits; the answers for long masks are not kept."""
+    return _short_places(mask) if len(mask) <= KEEP_MASK else _places(mask)
+
+
+def _places(mask: str) -> dict[str, tuple[int, int]] | None:
     for shape in SHAPES:
         m = shape.fullmatch(mask)
         if m:
@@ -70,6 +73,9 @@ def places(mask: str) -> dict[str, tuple[int, int]] | None:
     return None
 
 
+_short_places = lru_cache(maxsize=65_536)(_places)
+
+
 def _digits(codes: np.ndarray, span: tuple[int, int]) -> np.ndarray:
     out = np.zeros(len(codes), dtype=np.int64)
     for c in codes[:, span[0] : span[1]].T:
@@ -125,7 +131,7 @@ def convert(texts: list[str | None], zones: list[str | None], orders: list[str |
     clean = [t.strip(" \t\r\n  ﻿​") if t else "" for t in texts]
     rows: dict[str, list[int]] = {}
     for i, t in enumerate(clean):
-        if 0 < len(t) <= MAX_TEXT:
+        if t:
             rows.setdefault(t.translate(_MASK), []).append(i)
     for mask, idx in rows.items():
         at = places(mask)
