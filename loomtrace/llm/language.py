@@ -8,6 +8,9 @@ where that explains its words far better, and neighbours of one language are joi
 Words that begin with a capital inside a sentence do not vote (names, addresses, firms), so a sentence
 without any other evidence takes the language of its neighbour and single foreign terms make no segment.
 
+Confidences are calibrated: the log-likelihoods are tempered by the number of signs and by one temperature, fitted on
+beginnings of labelled texts that the fit left out.
+
 Defined results: a null history, an empty one and a null or wordless current prompt give no segment.
 """
 
@@ -95,11 +98,11 @@ KEEP_WORDS = 300_000
 class Model:
     """logp: (2**BITS, languages). Scores of words are kept, as a corpus repeats its words; up to KEEP_WORDS of them."""
 
-    def __init__(self, logp: np.ndarray):
-        self.logp, self.known = logp, {}
+    def __init__(self, logp: np.ndarray, temperature: float = 1.0):
+        self.logp, self.temperature, self.known = logp, temperature, {}
 
     def __reduce__(self):
-        return Model, (self.logp,)
+        return Model, (self.logp, self.temperature)
 
     def scores(self, words: list[str]) -> np.ndarray:
         """Log-likelihood of each word under each language, relative to its mean over the languages."""
@@ -125,14 +128,45 @@ def fit(texts: list[tuple[str, str]], weight: np.ndarray | None = None) -> Model
         words = [w for t, c in texts if c == code for w in _WORD.findall(_SKIP.sub(" ", t))]
         if words:
             counts[:, k] = np.bincount(hashes(words)[0], minlength=2**BITS)
-    smooth = 0.1
+    smooth = 0.1  # of a count, for every bucket
     logp = np.log((counts + smooth) / (counts.sum(axis=0) + smooth * 2**BITS))
     return Model(logp.astype(np.float32))
 
 
+#: Beginnings of so many words stand for the shortest segments when the confidence is calibrated.
+CALIBRATION_WORDS = (1, 2, 3, 5, 8)
+
+
+def beginnings(texts: list[tuple[str, str]], model: Model) -> list[tuple[np.ndarray, int, int]]:
+    """(score, signs, index of the language) of the beginnings of labelled texts."""
+    out = []
+    for text, code in texts:
+        words = _WORD.findall(_SKIP.sub(" ", text))
+        for n in CALIBRATION_WORDS:
+            if n <= len(words):
+                out.append((model.scores(words[:n]).sum(axis=0), sum(map(len, words[:n])), LANGUAGES.index(code)))
+    return out
+
+
+def temperature(cases: list[tuple[np.ndarray, int, int]]) -> float:
+    """The temperature of the least log loss on held-out cases; 1 where there are none."""
+    if not cases:
+        return 1.0
+    z = np.stack([s / max(1.0, np.sqrt(n)) for s, n, _ in cases])
+    right = np.array([k for _, _, k in cases])
+
+    def loss(t: float) -> float:
+        p = z / t - (z / t).max(axis=1, keepdims=True)
+        return float(np.mean(np.log(np.exp(p).sum(axis=1)) - p[np.arange(len(p)), right]))
+
+    return min(np.geomspace(0.1, 10.0, 81), key=loss)
+
+
 def trained(samples: DataFrame, documents: DataFrame | None = None, turns: DataFrame | None = None) -> Model:
-    """First fit on labelled samples, second one with documents and prompts whose label the first fit confirms (all bounded)."""
-    labelled = [(r.text, c) for r in samples.select("text", "lang").filter("text is not null").limit(FIT_SAMPLES).collect() if (c := code_of(r.lang))]
+    """First fit on labelled samples, second one with documents and prompts whose label the first fit confirms (all
+    bounded, the rows with the smallest hashes); the temperature comes from a fit without a third of the samples."""
+    picked = samples.select("text", "lang").filter("text is not null").orderBy(F.xxhash64("text"), "text", "lang").limit(FIT_SAMPLES)
+    labelled = [(r.text, c) for r in picked.collect() if (c := code_of(r.lang))]
     model = fit(labelled)
     parts = []
     if documents is not None:
@@ -144,7 +178,10 @@ def trained(samples: DataFrame, documents: DataFrame | None = None, turns: DataF
         for r in part.filter("text is not null and lang is not null").orderBy(*part.columns[:2]).limit(bound).select("lang", "text").collect():
             c = code_of(r.lang)
             more.extend((text, c) for text, _, _, lang, _ in segments(r.text, model) if lang == c)
-    return fit(labelled * 3 + more) if more else model
+    whole = fit(labelled * 3 + more) if more else model
+    apart = fit([x for i, x in enumerate(labelled) if i % 3] * 3 + more)
+    whole.temperature = temperature(beginnings(labelled[::3], apart))
+    return whole
 
 
 @dataclass
@@ -235,7 +272,7 @@ def segments(text: str | None, model: Model) -> list[tuple[str, int, int, str, f
         return []
     if not any(p.grams for p in found):
         words = _WORD.findall(_SKIP.sub(" ", text))
-        k, c = _best(model.scores(words).sum(axis=0), sum(map(len, words)))
+        k, c = _best(model.scores(words).sum(axis=0), sum(map(len, words)), model.temperature)
         return [(text, 0, len(text), LANGUAGES[k], c)]
     runs: list[list] = []
     for p, k in zip(found, _decode(np.array([p.score for p in found]))):
@@ -243,12 +280,12 @@ def segments(text: str | None, model: Model) -> list[tuple[str, int, int, str, f
             runs[-1][2], runs[-1][3], runs[-1][4] = p.end, runs[-1][3] + p.score, runs[-1][4] + p.grams
         else:
             runs.append([k, p.start, p.end, p.score.copy(), p.grams])
-    return [(text[a:b], a, b, LANGUAGES[k], _best(s, g)[1]) for k, a, b, s, g in runs]
+    return [(text[a:b], a, b, LANGUAGES[k], _best(s, g, model.temperature)[1]) for k, a, b, s, g in runs]
 
 
-def _best(score: np.ndarray, grams: int) -> tuple[int, float]:
+def _best(score: np.ndarray, grams: int, heat: float = 1.0) -> tuple[int, float]:
     """Language and confidence; n-grams overlap and are no independent evidence, so the scores are tempered."""
-    z = score / max(1.0, np.sqrt(grams))
+    z = score / (max(1.0, np.sqrt(grams)) * heat)
     p = np.exp(z - z.max())
     k = int(score.argmax())
     return k, float(p[k] / p.sum())
@@ -289,9 +326,8 @@ def label_code(label: Column) -> Column:
 
 def mislabelled(turns: DataFrame, model: Model) -> DataFrame:
     """Segments of the rows whose label is missing or wrong or whose prompt has more than one language."""
-    shared_model = model
     kind = dict(turns.dtypes)["row_id"]
-    shared = turns.sparkSession.sparkContext.broadcast(shared_model)
+    shared = turns.sparkSession.sparkContext.broadcast(model)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value

@@ -31,7 +31,8 @@ SHORT_PIECE = 2
 WHOLE_WORDS = 4
 SHARE = 0.5
 NEAR = 10
-MAX_ITEMS = 100_000
+#: Characters of evaluation items in one broadcast index (about 40 bytes a character in memory).
+BLOCK_CHARS = 4_000_000
 
 _MARKUP = re.compile(r"<[^<>]{0,300}>|[^]*|[­​-‏⁠﻿]|\]\([^()\s]*\)|https?://\S+")
 _HYPHEN = re.compile(r"(?<=\w)[-‐]\s*\n\s*(?=[a-zß-ÿ])")
@@ -150,12 +151,8 @@ class Index:
         return False
 
 
-def leaked(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id) of every document that holds a passage. The items are a small fixed table; its size is checked."""
-    known = items.select("item_id", "text").filter("text is not null").limit(MAX_ITEMS + 1).collect()
-    if len(known) > MAX_ITEMS:
-        raise ValueError(f"more than {MAX_ITEMS} evaluation items")
-    index = Index([(r.item_id, r.text) for r in known])
+def _block(docs: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
+    index = Index(items)
     shared = docs.sparkSession.sparkContext.broadcast(index)
     kind = dict(docs.dtypes)["doc_id"]
 
@@ -165,3 +162,22 @@ def leaked(docs: DataFrame, items: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["doc_id", "item_id"])
 
     return docs.select(F.col("doc_id"), F.col("text")).filter("text is not null").mapInPandas(run, f"doc_id {kind}, item_id bigint")
+
+
+def leaked(docs: DataFrame, items: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(doc_id, item_id) of every document that holds a passage.
+
+    The characters of the items are summed first. Up to ``block_chars`` they make one index that is broadcast; more
+    are cut into blocks of that size, and all documents are searched for one block after the other.
+    """
+    known = items.select("item_id", "text").filter("text is not null and item_id is not null")
+    chars = known.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, -(-chars // block_chars))
+    if blocks > 1:
+        known = known.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+    found = None
+    for b in range(blocks):
+        rows = (known.filter(F.col("block") == b) if blocks > 1 else known).collect()
+        part = _block(docs, [(r.item_id, r.text) for r in rows])
+        found = part if found is None else found.unionByName(part)
+    return found
