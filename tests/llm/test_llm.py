@@ -70,12 +70,30 @@ BEGUN = frozenset({"figures from 9 put", "a practical first step"})
         ("What should I know about knee pain?", "No hay una respuesta única, porque depende de dónde vive usted.", "wrong_language"),
         ("Please answer in Spanish: What should I know about knee pain?", "No hay una respuesta única, porque depende de dónde vive usted.", None),
         (None, "Rest the knee.", None),
+        ("What should I know about knee pain?", "Rest the knee. Most guides suggest looking at…", "truncated"),
+        ("What should I know about knee pain?", "Most guides suggest looking at...", "truncated"),
+        ("What should I know about knee pain?", "Do this:\n1. ice\n2. rest\n3.", "truncated"),
+        ("What is six times seven?", "42.", None),
     ],
 )
 def test_pairs(model, prompt, answer, want):
     assert next(pairs.Rules(model, BEGUN).triggered(prompt, answer), None) == want
 
 
+def test_every_triggered_type(spark, model):
+    said = "What should I know about knee pain? Tell me, as I"
+    d = spark.createDataFrame([(1, [said, "q"], [said, None])], "row_id long, user_msg_history array<string>, assistant_msg_history array<string>")
+    got = sorted(map(tuple, pairs.triggered_pairs(d, model, BEGUN).collect()))
+    assert got == [(1, 1, "copy", 1), (1, 1, "truncated", 2), (1, 2, "empty", 1)]
+    assert sorted(map(tuple, pairs.defective_pairs(d, model, BEGUN).collect())) == [(1, 1, "copy"), (1, 2, "empty")]
+
+
+def test_openings_are_those_of_finished_sentences(spark):
+    rows = [(1, ["Rest the knee for a week. Rest the knee"]), (2, ["Rest the knee for long! 大多数指南建议先看。"]), (3, ["Rest the knee for fun. Do not"]), (4, None), (5, [None, ""])]
+    d = spark.createDataFrame(rows, "row_id long, assistant_msg_history array<string>")
+    assert pairs.openings(d) == {"rest the knee for"} and pairs.openings(d.limit(0)) == frozenset()
+
+
 def test_pairs_of_any_length(model):
     rules = pairs.Rules(model, BEGUN)
     assert list(rules.triggered("什么是国债？", "什么是国债？"))[0] == "copy" and list(rules.triggered("No?", "It depends on the case.")) == []
@@ -96,12 +114,43 @@ def test_fits_on_whole_documents(spark, monkeypatch):
     assert any("walrus" in t for t, _ in seen[-1])
 
 
-def test_subject_chain_fits_on_all_prompts(spark, tables, monkeypatch):
-    turns = spark.range(6_100).selectExpr("id as row_id", "'finance' as topic", "array('What about savings accounts?') as user_msg_history")
-    rows, fit = [], subjects.Chain.fit
-    monkeypatch.setattr(subjects.Chain, "fit", lambda self, e, c, y: rows.append(len(e)) or fit(self, e, c, y))
-    subjects.trained(tables("subject_areas"), tables("subject_samples"), tables("documents"), turns)
-    assert rows == [6_100]
+def test_confidence_is_calibrated(tables):
+    """On beginnings of texts the fit never saw, the confidence is as high as the share of right answers."""
+    rows = sorted((r.sample_id, r.text, r.lang) for r in tables("subject_samples").collect())
+    texts = [[(t, c) for i, t, c in rows if i % 3 == k] for k in range(3)]
+    apart = language.fit(texts[0])
+    heat = language.temperature(language.beginnings(texts[1], apart))
+    cases = language.beginnings(texts[2], language.fit(texts[0] + texts[1]))
+    said = [(language._best(s, n, heat), k) for s, n, k in cases]
+    bins: dict[int, list] = {}
+    for (best, c), k in said:
+        bins.setdefault(min(9, int(c * 10)), []).append((c, best == k))
+    error = sum(abs(sum(c for c, _ in b) - sum(ok for _, ok in b)) for b in bins.values()) / len(said)
+    assert error < 0.08
+    assert language.temperature([]) == 1.0
+
+
+def test_subject_chain_learns_from_known_sets(spark, tables, monkeypatch):
+    seen, fit, calibrate = [], subjects.Chain.fit, subjects.Chain.calibrate
+    monkeypatch.setattr(subjects.Chain, "fit", lambda self, e, c, y: seen.append(("fit", y)) or fit(self, e, c, y))
+    monkeypatch.setattr(subjects.Chain, "calibrate", lambda self, e, c, y: seen.append(("calibrate", y)) or calibrate(self, e, c, y))
+    subjects.trained(tables("subject_areas"), tables("subject_samples"), tables("documents"), tables("web_data_summary"))
+    assert [k for k, _ in seen] == ["fit", "calibrate"]
+    sizes = {int(n) for _, y in seen for n in y.sum(axis=1)}
+    assert {0, 1, 2} <= sizes and len(seen[1][1]) > 0.15 * len(seen[0][1])
+
+
+def test_stored_models(spark, tmp_path):
+    from loomtrace.llm import models
+
+    calls = []
+    fit = lambda: calls.append(1) or {"a": 1}
+    assert models.fitted(spark, "m", fit) == {"a": 1} and models.fitted(spark, "m", fit) == {"a": 1} and len(calls) == 2
+    spark.conf.set(models.FOLDER, str(tmp_path))
+    try:
+        assert models.fitted(spark, "m", fit) == {"a": 1} == models.fitted(spark, "m", fit) and len(calls) == 3
+    finally:
+        spark.conf.unset(models.FOLDER)
 
 
 def test_short_items():
@@ -122,17 +171,29 @@ def test_pairs_frame(spark, model):
     assert pairs.openings(d.limit(0)) == frozenset()
 
 
-def test_subjects_held_out(tables, spark):
+@pytest.mark.parametrize("part", [0, 1])
+def test_subjects_held_out(tables, spark, part):
     rows = tables("subject_samples")
-    big = lambda n: spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet")
-    m = subjects.trained(tables("subject_areas"), rows.filter("sample_id % 4 > 0"), big("documents"), big("web_data_summary"))
-    held = rows.filter("sample_id % 4 = 0").collect()
+    big = lambda n: spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet")
+    m = subjects.trained(tables("subject_areas"), rows.filter(f"sample_id % 4 <> {part}"), big("documents"), big("web_data_summary"))
+    held = rows.filter(f"sample_id % 4 = {part}").collect()
     got = m.predict([r.text for r in held])
     assert sum(r.subject in g for r, g in zip(held, got)) >= 0.9 * len(held)
+    assert sum(map(len, got)) <= 1.1 * len(held)
+    both = [(a.subject, b.subject, f"{a.text} {b.text}") for a, b in zip(held[::2], held[1::2]) if a.subject != b.subject]
+    got = m.predict([t for _, _, t in both])
+    assert sum((a in g) + (b in g) for (a, b, _), g in zip(both, got)) >= 0.75 * 2 * len(both)
+
+
+def test_subjects_edges(tables, spark):
+    rows = tables("subject_samples")
+    m = subjects.trained(tables("subject_areas"), rows, tables("documents"), tables("web_data_summary"))
     assert m.predict(["", None, "???"]) == [[], [], []] and m.predict([]) == []
     assert "science" not in m.predict(["Give me three sources about savings accounts. (My cousin, who can only talk of coral bleaching, says hi.)"])[0]
     none = tables("subject_areas").limit(0)
     assert subjects.subject_rows(tables("web_data_summary"), subjects.trained(none, rows, tables("documents"), tables("web_data_summary"))).count() == 0
+    bare = subjects.trained(tables("subject_areas"), rows.limit(0), tables("documents").limit(0), tables("web_data_summary").limit(0))
+    assert bare.predict(["What about savings accounts?"]) == [[]]
 
 
 LEX = pii.Lexicon({w: 5.0 for w in ("Ilse", "Otto", "Montevere", "Noor")}, frozenset({"Ormstead", "Port Halden"}))
@@ -226,6 +287,24 @@ def test_conversations_both_ways(tables, spark):
     assert conversations.rebuild(m.limit(0)).count() == 0
 
 
+def test_sessions_split_at_gaps(spark):
+    schema = "msg_row long, conv_id string, msg_id string, parent_id string, child_no int, author_role string, recipient string, content_type string, body string, batch_no int, create_time double, platform string"
+    rows, at = [], 1.7e9
+    for i in range(400):  # 200 exchanges a minute apart, a pause of a day after the 100th; the last question has no answer
+        at += 60 if i != 200 else 86_400
+        rows.append((i, "a", f"m{i:03d}", None if i == 0 else f"m{i - 1:03d}", 0, "human" if i % 2 == 0 else "BOT", "all", "text", "x", 1, at * (1000 if i % 7 == 0 else 1) if i % 11 else None, "p"))
+    rows += [(400, "b", "1", None, 0, "user", "all", "text", "q", 1, 1.7e9, "p"), (401, "c", "1", None, 0, "user", "all", "text", "q", 1, None, "q"), (402, "c", "2", "1", 0, "bot", "all", "text", "r", 1, None, "q")]
+    d = spark.createDataFrame(rows, schema).selectExpr("*", "1 as session", "2 as block")
+    got = conversations.sessionise(d, quantile=0.995).collect()
+    per = {}
+    for r in got:
+        per.setdefault((r.conv_id, r.session), []).append((r.pos, r.msg_id, r.speaker))
+    assert set(per) == {("a", 0), ("a", 1), ("c", 0)} and len(per["a", 0]) == 200 == len(per["a", 1])
+    assert [x[0] for x in sorted(per["a", 0])] == list(range(1, 201)) and sorted(per["c", 0]) == [(1, "1", "user"), (2, "2", "assistant")]
+    assert [m for _, m, _ in sorted(per["a", 1])] == [f"m{i:03d}" for i in range(200, 400)]
+    assert conversations.sessionise(d.limit(0)).count() == 0
+
+
 def test_conversation_rules(spark):
     schema = "msg_row long, conv_id string, msg_id string, parent_id string, child_no int, author_role string, recipient string, content_type string, body string, batch_no int"
     rows = [
@@ -284,6 +363,9 @@ def test_leaks(tables, spark):
     docs = spark.createDataFrame([(1, text), (2, None), (1, text)], "doc_id long, text string").selectExpr("*", "5 as item_id")
     assert sorted(map(tuple, leakage.leaked(docs, tables("eval_items")).collect())) == [(1, key), (1, key)]
     assert leakage.leaked(docs, tables("eval_items").limit(0)).count() == 0
+    real = tables("documents")
+    whole = sorted(map(tuple, leakage.leaked(real, tables("eval_items")).collect()))
+    assert whole and whole == sorted(map(tuple, leakage.leaked(real, tables("eval_items"), block_chars=5_000).collect()))
 
 
 def test_reading_held_out(tables, spark):
@@ -299,6 +381,29 @@ def test_reading_held_out(tables, spark):
     assert reading.levels(short, samples.limit(0)).count() == 0
 
 
+#: What holds for every row of a query without SQL.
+RULES = {
+    "p1_found": "seg_no >= 1 and lang in ('en', 'de', 'fr', 'es', 'it', 'pt', 'nl', 'ru', 'zh')",
+    "p1_segments": "seg_no >= 1 and confidence > 0 and confidence <= 1 and start < `end`",
+    "p2_found": "pair_no >= 1 and defect in ('empty', 'copy', 'refusal', 'truncated', 'wrong_language')",
+    "p2_triggered": "rank >= 1 and pair_no >= 1",
+    "p3_found": "subject is not null",
+    "p4_found": "field_name in ('user_msg_history', 'turn_msgs') and pii_type in ('email', 'phone', 'id_number', 'address', 'name') and length(pii_text) > 3",
+    "p4_sanitised": "field_name in ('user_msg_history', 'turn_msgs') and pos >= 0",
+    "p7_found": "pos >= 1 and speaker in ('user', 'assistant')",
+    "p7_sessions": "pos >= 1 and session >= 0 and speaker in ('user', 'assistant')",
+    "p8_ids": "ids is not null and forall(ids, x -> x between 0 and 60000)",
+    "p9_found": "doc_id is not null and item_id is not null",
+    "p10_found": "reading_level between 1 and 4",
+}
+KEYS = {"p1_found": 2, "p1_segments": None, "p2_found": 2, "p2_triggered": 3, "p3_found": 2, "p4_found": 4, "p4_sanitised": 3, "p7_found": 2, "p7_sessions": 3, "p8_ids": 1, "p9_found": 2, "p10_found": 1}
+
+
 @pytest.mark.parametrize("name", sorted(queries.queries()))
-def test_queries_run(spark, name):
-    assert queries.queries()[name](spark, SF).count() > 0
+def test_queries(spark, name):
+    got = queries.queries()[name](spark, SF).cache()
+    n = got.count()
+    assert n > 0 and got.filter(f"not coalesce({RULES[name]}, false)").count() == 0
+    if KEYS[name]:
+        assert got.select(*got.columns[: KEYS[name]]).distinct().count() == n
+    got.unpersist()
