@@ -45,6 +45,8 @@ CONCENTRATION = 0.5
 #: Prompts put together for each labelled sample to fit and calibrate the chain, and the part held out for calibration.
 COMPOSED = 6
 HELD_OUT = 0.25
+#: How strongly a link is drawn to what all links share, and its calibration to none.
+RIDGE = 10.0
 KEEP_SENTENCES = 200_000
 
 # Topics of the export and the subject they stand for.
@@ -120,11 +122,11 @@ class Units:
         size = np.maximum(np.bincount(label, weights=weight, minlength=n), 1e-9)
         fair = counts / (size / size.mean())
         self.keep = (fair.sum(axis=1) > 0) & (fair.max(axis=1) + 0.3 / n >= CONCENTRATION * (fair.sum(axis=1) + 0.3))
-        smooth = 0.02
+        smooth = 0.5
         here = (counts + smooth) / (size + 2 * smooth)
         there = (counts.sum(axis=1, keepdims=True) - counts + smooth * (n - 1)) / (size.sum() - size + 2 * smooth * (n - 1) + 1e-9)
         if n > 1:
-            self.w[self.keep] = 0.5 * (np.log(here) - np.log(there))[self.keep]
+            self.w[self.keep] = 0.3 * (np.log(here) - np.log(there))[self.keep]
 
     def fit(self, terms: list[list[int]], extra: list[list[int]], label: np.ndarray, weight: np.ndarray, rate: float = 0.3, decay: float = 2e-6) -> None:
         self.select(terms, label, weight)
@@ -165,12 +167,23 @@ class Units:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, start: np.ndarray, ridge: float) -> np.ndarray:
-    """Newton steps of a logistic regression drawn towards ``start``."""
-    w = start.copy()
-    for _ in range(15):
+    """Logistic regression drawn towards ``start``: Newton steps, halved until the loss falls."""
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + ridge / 2 * ((w - start) ** 2).sum())
+
+    w, now = start.copy(), loss(start)
+    for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1])
-        w -= np.linalg.solve(h, x.T @ (p - y) + ridge * (w - start))
+        step, size = np.linalg.solve(h, x.T @ (p - y) + ridge * (w - start)), 1.0
+        while size > 1e-6 and loss(w - size * step) > now:
+            size /= 2
+        if now - loss(w - size * step) < 1e-8 * (1 + now):
+            break
+        w = w - size * step
+        now = loss(w)
     return w
 
 
@@ -196,14 +209,17 @@ class Chain:
             yield k, self.inputs(evidence, k, count, before)
 
     def fit(self, evidence: np.ndarray, count: np.ndarray, y: np.ndarray) -> None:
-        for k, x in self._links(evidence, count, y):
-            self.w[k] = _logistic(x, y[:, k], np.eye(x.shape[1])[0], 1.0)
+        """One regression over all links settles the weights of evidence, rival, count and bias; every link is drawn to it."""
+        links = list(self._links(evidence, count, y))
+        shared = _logistic(np.concatenate([x[:, :4] for _, x in links]), np.concatenate([y[:, k] for k, _ in links]), np.eye(4)[0], 1.0)
+        for k, x in links:
+            self.w[k] = _logistic(x, y[:, k], np.concatenate([shared, np.zeros(self.n)]), RIDGE)
 
     def calibrate(self, evidence: np.ndarray, count: np.ndarray, y: np.ndarray) -> None:
         """Scale and shift of every link's log-odds on rows that were not fitted on."""
         for k, x in self._links(evidence, count, y):
             z = np.stack([x @ self.w[k], np.ones(len(x))], axis=1)
-            self.scale[k], self.shift[k] = _logistic(z, y[:, k], np.array([1.0, 0.0]), 1.0)
+            self.scale[k], self.shift[k] = _logistic(z, y[:, k], np.array([1.0, 0.0]), RIDGE)
 
     def log_odds(self, k: int, x: np.ndarray) -> np.ndarray:
         return np.clip((x @ self.w[k]) * self.scale[k] + self.shift[k], -30, 30)
