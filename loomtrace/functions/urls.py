@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values.
-IMAGE_ENDINGS = ("jpg", "jpeg", "png", "gif", "webp", "svg", "bmp", "tiff", "tif", "ico", "avif", "heic", "heif", "jfif", "apng", "raw")
+IMAGE_ENDINGS = ("jpg", "jpeg", "png", "gif", "webp", "bmp", "svg", "tif", "tiff", "avif", "heic", "heif", "jfif", "pjpeg", "pjp", "mov")
 UTM = "utm_source=chatgpt.com"
 
 
@@ -38,5 +38,6 @@ def with_scheme(url: Column) -> Column:
 
 
 def is_image(url: Column) -> Column:
-    path = F.regexp_replace(F.lower(url), r"[?#].*$", "")
-    return path.rlike(r"\.(" + "|".join(IMAGE_ENDINGS) + ")$") | F.lower(url).rlike(r"^https?://tse[^/]*\.mm\.bing\.net")
+    """A picture or film by its last letters, or a thumbnail of the image search host."""
+    low = F.lower(url)
+    return low.rlike(r"\.(" + "|".join(IMAGE_ENDINGS) + ")$") | low.rlike(r"^https?://tse[^/?#]*\.mm\.bing\.net(?:[/?#]|$)")

@@ -49,15 +49,25 @@ def field(v: str, path: str, kind: str = "string") -> Column:
     return F.expr(f"try_variant_get({v}, '$.{path}', '{kind}')")
 
 
-def list_field(v: str, path: str) -> Column:
-    """A list field as written, as JSON text or as a single object: array of variants, null if it is none of these."""
+def list_sql(v: str, path: str) -> str:
+    """``list_field`` as SQL text, which may stand inside a lambda."""
     own = f"try_variant_get({v}, '$.{path}', 'variant')"
 
     def direct(x: str) -> str:
         return f"CASE WHEN schema_of_variant({x}) LIKE 'ARRAY%' THEN try_variant_get({x}, '$', 'array<variant>') WHEN schema_of_variant({x}) LIKE 'OBJECT%' THEN array({x}) END"
 
     inner = f"try_parse_json(try_variant_get({v}, '$.{path}', 'string'))"
-    return F.expr(f"CASE WHEN schema_of_variant({own}) = 'STRING' THEN {direct(inner)} ELSE {direct(own)} END")
+    return f"CASE WHEN schema_of_variant({own}) = 'STRING' THEN {direct(inner)} ELSE {direct(own)} END"
+
+
+def list_field(v: str, path: str) -> Column:
+    """A list field as written, as JSON text or as a single object: array of variants, null if it is none of these."""
+    return F.expr(list_sql(v, path))
+
+
+def joined(*lists: str) -> str:
+    """SQL text of several lists as one; null lists count as empty."""
+    return f"flatten(filter(array({', '.join(lists)}), x -> x IS NOT NULL))"
 
 
 def messages(raw: DataFrame) -> DataFrame:
@@ -79,64 +89,101 @@ def loops(raw: DataFrame) -> DataFrame:
     return closing.select("row_id", F.row_number().over(W.partitionBy("row_id").orderBy("pos")).alias("loop_idx"), "pos", "n_queries", "queries")
 
 
-def _entry(v: str) -> list[Column]:
-    return [field(v, "url").alias("url"), field(v, "title").alias("title"), field(v, "snippet").alias("snippet")]
+IMAGES = 1_000_000
 
 
-def retrieved(raw: DataFrame) -> DataFrame:
-    """Search results and image results with their place; urls are kept as written."""
-    m = messages(raw)
-    groups = m.select("row_id", "pos", F.posexplode(list_field("m", "metadata.search_result_groups")).alias("g", "gv"))
-    entries = groups.select("row_id", "pos", "g", F.posexplode(list_field("gv", "entries")).alias("e", "ev")).select(
-        "row_id", "pos", "g", "e", *_entry("ev"), field("ev", "ref_id.turn_index", "int").alias("turn_index"), field("ev", "ref_id.ref_index", "int").alias("ref_index")
-    )
-    images = m.select("row_id", "pos", F.posexplode(list_field("m", "metadata.image_results")).alias("e", "ev")).select(
-        "row_id", "pos", F.lit(1_000_000).alias("g"), "e", *_entry("ev"), F.lit(None).cast("int").alias("turn_index"), F.col("e").alias("ref_index")
+def sources(raw: DataFrame) -> DataFrame:
+    """Every source of every valid turn in one pass over the parsed messages: (row_id, kind, pos, g, src, e, url, title, snippet, turn_index, ref_index).
+
+    ``retrieved``: entries of result groups (g, e) and image results (g = IMAGES); urls are kept as written.
+    ``safe``: safe urls without the platform's utm mark.
+    ``cited``: references (g) whose text holds a citation mark: their own url (src 0) and those of their images (src 1)
+    and items (src 2). An item's place is its first ref, else the reference's ref of the same ordinal, else none.
+    """
+    parts = joined(
+        f"transform({list_sql('m', 'metadata.search_result_groups')}, (x, i) -> struct('group' AS part, i AS g, x AS v))",
+        f"transform({list_sql('m', 'metadata.image_results')}, (x, i) -> struct('image' AS part, i AS g, x AS v))",
+        "transform(try_variant_get(m, '$.metadata.safe_urls', 'array<variant>'), (x, i) -> struct('safe' AS part, i AS g, x AS v))",
+        f"transform({list_sql('m', 'metadata.content_references')}, (x, i) -> struct('ref' AS part, i AS g, x AS v))",
     )
-    return entries.unionByName(images).filter("url <> ''").withColumn("kind", F.lit("retrieved"))
+    p = messages(raw).select("row_id", "pos", F.explode(F.expr(parts)).alias("p")).select("row_id", "pos", "p.*")
+    p = p.withColumn("mark", F.when(F.col("part") == "ref", text.citation_refs(field("v", "matched_text")))).filter("part <> 'ref' OR size(mark) > 0")
+    rows = f"""CASE part
+        WHEN 'group' THEN transform({list_sql("v", "entries")}, (x, i) -> struct(0 AS src, i AS e, x AS iv))
+        WHEN 'ref' THEN {joined("array(struct(0 AS src, 0 AS e, v AS iv))", f"transform({list_sql('v', 'images')}, (x, i) -> struct(1 AS src, i AS e, x AS iv))", "transform(CASE WHEN size(fallback) > 0 THEN fallback ELSE listed END, (x, i) -> struct(2 AS src, i AS e, x AS iv))")}
+        ELSE array(struct(0 AS src, g AS e, v AS iv)) END"""
+    is_ref = F.col("part") == "ref"
+    p = p.withColumns({"own": F.when(is_ref, list_field("v", "refs")), "fallback": F.when(is_ref, list_field("v", "fallback_items")), "listed": F.when(is_ref, list_field("v", "items"))})
+    r = p.withColumn("x", F.explode(F.expr(rows))).select("row_id", "pos", "part", "g", "mark", "own", "x.*")
+    r = r.withColumn("first", F.when((F.col("part") == "ref") & (F.col("src") > 0), F.try_element_at(list_field("iv", "refs"), F.lit(1))))
+    place = F.when(F.col("first").isNotNull(), F.col("first")).otherwise(F.get("own", F.col("e")))
+    r = r.withColumn("place", F.when(F.col("src") > 0, place))
+
+    def index(name: str, image: Column) -> Column:
+        return (
+            F.when(F.col("part") == "group", field("iv", f"ref_id.{name}", "int"))
+            .when(F.col("part") == "image", image)
+            .when((F.col("part") == "ref") & (F.col("src") == 0), F.col("mark")[0][name])
+            .when(F.col("part") == "ref", field("place", name, "int"))
+        )
+
+    url = F.when(F.col("part") == "safe", F.try_variant_get("iv", "$", "string")).otherwise(field("iv", "url"))
+    kind = F.when(is_ref, "cited").when(F.col("part") == "safe", "safe").otherwise("retrieved")
+    out = r.select(
+        "row_id", kind.alias("kind"), "pos", F.when(F.col("part") == "image", IMAGES).when(F.col("part") == "safe", 0).otherwise(F.col("g")).alias("g"), "src", "e",
+        F.when(F.col("part") == "safe", urls.without_utm(url)).otherwise(url).alias("url"), field("iv", "title").alias("title"), field("iv", "snippet").alias("snippet"),
+        index("turn_index", F.lit(None).cast("int")).alias("turn_index"), index("ref_index", F.col("e")).alias("ref_index"), url.alias("_raw"),
+    )
+    return out.filter("_raw <> ''").drop("_raw")
+
+
+def retrieved(raw: DataFrame) -> DataFrame:
+    """Search results and image results with their place."""
+    return sources(raw).filter("kind = 'retrieved'").drop("src")
 
 
 def safe(raw: DataFrame) -> DataFrame:
-    """Safe urls without the platform's utm mark."""
-    urls_ = messages(raw).select("row_id", "pos", F.posexplode(field("m", "metadata.safe_urls", "array<string>")).alias("e", "u"))
-    return urls_.filter("u <> ''").select("row_id", "pos", F.lit(0).alias("g"), "e", urls.without_utm(F.col("u")).alias("url"), F.lit("safe").alias("kind"))
+    return sources(raw).filter("kind = 'safe'").drop("src")
 
 
 def cited(raw: DataFrame) -> DataFrame:
-    """Cited sources: references whose text holds a citation mark, their own url and those of their items.
+    """Cited sources; of equal (url, turn_index, ref_index) the one with most filled fields stays, at the first one's place."""
+    return richest(sources(raw).filter("kind = 'cited'"))
 
-    An item's place is its first ref, else the reference's ref of the same ordinal, else none; of equal
-    (url, turn_index, ref_index) the item with most filled fields stays.
-    """
-    refs = messages(raw).select("row_id", "pos", F.posexplode(list_field("m", "metadata.content_references")).alias("c", "cv"))
-    marked = refs.withColumn("matched", field("cv", "matched_text")).withColumn("mark", text.citation_refs(F.col("matched"))).filter(F.size("mark") > 0)
-    marked = marked.withColumn("own", F.transform(list_field("cv", "refs"), lambda r: F.struct(F.try_variant_get(r, "$.turn_index", "int").alias("t"), F.try_variant_get(r, "$.ref_index", "int").alias("r"))))
-    direct = marked.select("row_id", "pos", "c", F.lit(0).alias("src"), F.lit(0).alias("i"), *_entry("cv"), F.col("mark")[0]["turn_index"].alias("turn_index"), F.col("mark")[0]["ref_index"].alias("ref_index"))
-    fallback = list_field("cv", "fallback_items")
-    lists = marked.select("row_id", "pos", "c", "own", F.explode(F.array(F.struct(F.lit(1).alias("src"), list_field("cv", "images").alias("l")), F.struct(F.lit(2).alias("src"), F.when(F.size(fallback) > 0, fallback).otherwise(list_field("cv", "items")).alias("l")))).alias("x"))
-    items = lists.select("row_id", "pos", "c", "own", "x.src", F.posexplode("x.l").alias("i", "iv"))
-    first = F.try_element_at(list_field("iv", "refs"), F.lit(1))
-    items = items.withColumn("first", first).select(
-        "row_id", "pos", "c", "src", "i", *_entry("iv"),
-        F.coalesce(field("first", "turn_index", "int"), F.when(F.col("first").isNull(), F.get("own", F.col("i"))["t"])).alias("turn_index"),
-        F.coalesce(field("first", "ref_index", "int"), F.when(F.col("first").isNull(), F.get("own", F.col("i"))["r"])).alias("ref_index"),
-    )
-    every = direct.unionByName(items).filter("url <> ''")
+
+def richest(every: DataFrame) -> DataFrame:
     rich = F.when(F.trim(F.coalesce("title", F.lit(""))) != "", 1).otherwise(0) + F.when(F.trim(F.coalesce("snippet", F.lit(""))) != "", 1).otherwise(0)
-    order = [F.col(x) for x in ("pos", "c", "src", "i")]
+    order = [F.col(x) for x in ("pos", "g", "src", "e")]
     key = W.partitionBy("row_id", "url", "turn_index", "ref_index")
     best = every.withColumn("rich", rich).withColumn("n", F.row_number().over(key.orderBy(F.desc("rich"), *order))).withColumn("at", F.min(F.struct(*order)).over(key)).filter("n = 1")
-    return best.select("row_id", "at.pos", F.col("at.c").alias("g"), (F.col("at.src") * 1000 + F.col("at.i")).alias("e"), "url", "title", "snippet", "turn_index", "ref_index", F.lit("cited").alias("kind"))
+    return best.select("row_id", "at.pos", F.col("at.g").alias("g"), (F.col("at.src") * 1000 + F.col("at.e")).alias("e"), "url", "title", "snippet", "turn_index", "ref_index", F.lit("cited").alias("kind"))
+
+
+def keyed(every: DataFrame) -> DataFrame:
+    """Sources with their url as it is compared and their plain domain."""
+    return every.withColumns({"key": urls.match_key(F.col("url")), "domain": urls.plain_domain(urls.domain(F.col("url")))})
 
 
 def source_keys(raw: DataFrame) -> DataFrame:
     """(row_id, kind, key, domain): distinct normalised urls of each turn and kind of source."""
-    cols = ["row_id", "kind", "url"]
-    every = retrieved(raw).select(cols).unionByName(safe(raw).select(cols)).unionByName(cited(raw).select(cols))
-    return every.select("row_id", "kind", urls.match_key(F.col("url")).alias("key"), urls.plain_domain(urls.domain(F.col("url"))).alias("domain")).distinct()
+    return keyed(sources(raw)).select("row_id", "kind", "key", "domain").distinct()
+
+
+KINDS = ("retrieved", "safe", "cited")
 
 
 def url_sets(raw: DataFrame) -> DataFrame:
-    """(row_id, retrieved, safe, cited): sets of normalised urls of each turn that has any source."""
-    k = source_keys(raw).select("row_id", "kind", "key").distinct()
-    return k.groupBy("row_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("kind") == x, F.col("key")))).alias(x) for x in ("retrieved", "safe", "cited")])
+    """(row_id, retrieved, safe, cited, retrieved_domains, cited_domains): sets of each turn that has any source."""
+    k = keyed(sources(raw))
+
+    def gathered(kind: str, column: str) -> Column:
+        return F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col(column))))
+
+    return k.groupBy("row_id").agg(*[gathered(x, "key").alias(x) for x in KINDS], *[gathered(x, "domain").alias(f"{x}_domains") for x in ("retrieved", "cited")])
+
+
+def turn_sets(turns_: DataFrame, raw: DataFrame) -> DataFrame:
+    """``turns_`` with the sets of ``url_sets``; a turn without sources, or with null or broken JSON, has empty ones."""
+    none = F.array().cast("array<string>")
+    names = [*KINDS, "retrieved_domains", "cited_domains"]
+    return turns_.join(url_sets(raw), "row_id", "left").withColumns({x: F.coalesce(x, none) for x in names})

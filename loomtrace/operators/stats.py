@@ -54,6 +54,16 @@ def is_close(a: Column, b: Column) -> Column:
     return F.abs(a - b) <= 1e-8 + 1e-5 * F.abs(b)
 
 
+def with_total(counts: DataFrame, n: str, total: str = "total") -> DataFrame:
+    """``counts`` with the sum of column ``n`` over all rows: a second, one-row aggregate over the same shuffle."""
+    return counts.join(F.broadcast(counts.agg(F.sum(n).alias(total))))
+
+
+def share_of_all(counts: DataFrame, n: str, share: str = "share") -> DataFrame:
+    """``counts`` with each row's share of all of column ``n``, without a window over all rows."""
+    return with_total(counts, n, "_total").withColumn(share, F.round(F.col(n) / F.col("_total"), 6)).drop("_total")
+
+
 def _beta_fraction(a: float, b: float, x: float) -> float:
     c, d = 1.0, 1 - (a + b) * x / (a + 1)
     d = 1 / (d or 1e-300)

@@ -87,5 +87,8 @@ url_sets AS (SELECT row_id, coalesce(list(key) FILTER (WHERE kind = 'retrieved')
 )
 
 
+TURN_SETS = """turn_sets AS (SELECT turns.*, coalesce(retrieved, []) AS retrieved, coalesce(safe, []) AS safe, coalesce(cited, []) AS cited FROM turns LEFT JOIN url_sets USING (row_id))"""
+
+
 def with_(*parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
