@@ -55,8 +55,16 @@ def is_close(a: Column, b: Column) -> Column:
 
 
 def with_total(counts: DataFrame, n: str, total: str = "total") -> DataFrame:
-    """``counts`` with the sum of column ``n`` over all rows: a second, one-row aggregate over the same shuffle."""
-    return counts.join(F.broadcast(counts.agg(F.sum(n).alias(total))))
+    """``counts`` with the sum of column ``n`` over all rows, by a second, one-row aggregate over the same shuffle.
+
+    The aggregate also reads the other columns, so that pruning leaves both branches alike and their shuffle is shared.
+    """
+    others = [c for c in counts.columns if c != n]
+    one = counts.agg(F.sum(n).alias(total), *[F.max(c).alias(f"_max_{i}") for i, c in enumerate(others)])
+    some = F.col(total).isNotNull()
+    for i in range(len(others)):
+        some = some | F.col(f"_max_{i}").isNotNull()
+    return counts.join(F.broadcast(one.filter(some).select(total)))
 
 
 def share_of_all(counts: DataFrame, n: str, share: str = "share") -> DataFrame:

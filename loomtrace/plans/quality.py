@@ -14,6 +14,7 @@ from loomtrace.functions import text as X
 from loomtrace.functions import urls
 from loomtrace.operators import attribution
 from loomtrace.operators import messages as M
+from loomtrace.operators.stats import share_of_all
 from loomtrace.plans.sql import KEY, SOURCES, TURNS, with_
 from loomtrace.plans.sql import QUERIES as QUERY_TABLES
 from loomtrace.session import table
@@ -90,9 +91,15 @@ def q37_safe_against_rest(spark, d):
 
 def q43_rank_by_kind(spark, d):
     """Mean rank of a turn's retrieved sources that were cited and that were not; only turns with both."""
-    c = M.cited(_raw(spark, d)).select("row_id", urls.match_key(F.col("url")).alias("key")).distinct().withColumn("c", F.lit(1))
-    r = M.retrieved(_raw(spark, d)).filter("ref_index >= 0").select("row_id", urls.match_key(F.col("url")).alias("key"), (F.col("ref_index") + 1).alias("rank")).join(c, ["row_id", "key"], "left")
-    g = r.groupBy("row_id").agg(F.avg(F.when(F.col("c") == 1, F.col("rank"))).alias("a"), F.avg(F.when(F.col("c").isNull(), F.col("rank"))).alias("b")).filter("a is not null and b is not null")
+    k = M.keyed(M.sources(_raw(spark, d)))
+    got = F.collect_list(F.when((F.col("kind") == "retrieved") & (F.col("ref_index") >= 0), F.struct("key", (F.col("ref_index") + 1).alias("rank"))))
+    g = k.groupBy("row_id").agg(got.alias("got"), F.collect_set(F.when(F.col("kind") == "cited", F.col("key"))).alias("said"))
+
+    def mean(of):
+        ranks = F.transform(F.filter("got", of), lambda x: x["rank"])
+        return F.try_divide(F.aggregate(ranks, F.lit(0), lambda s, x: s + x), F.size(ranks))
+
+    g = g.select(mean(lambda x: F.array_contains("said", x["key"])).alias("a"), mean(lambda x: ~F.array_contains("said", x["key"])).alias("b")).filter("a is not null and b is not null")
     return g.agg(F.count("*").alias("n"), F.round(F.avg("a"), 6).alias("cited"), F.round(F.avg("b"), 6).alias("other"), F.count_if(F.col("a") < F.col("b")).alias("cited_better"))
 
 
@@ -113,10 +120,12 @@ def q48_attribution_by_platform(spark, d):
 def q47_support_by_kind(spark, d):
     """Words of the last answer found in a turn's snippets: mean share for cited and for other retrieved sources."""
     a = _turns(spark, d).select("row_id", F.array_distinct(X.tokens(F.try_element_at("answers", F.lit(-1)))).alias("a")).filter(F.size("a") > 0)
-    c = M.cited(_raw(spark, d)).select("row_id", urls.match_key(F.col("url")).alias("key")).distinct().withColumn("c", F.lit(1))
-    r = M.retrieved(_raw(spark, d)).filter("snippet <> ''").select("row_id", urls.match_key(F.col("url")).alias("key"), "snippet").distinct().join(c, ["row_id", "key"], "left").join(a, "row_id")
-    s = F.size(F.array_intersect("a", X.tokens(F.col("snippet")))) / F.size("a")
-    return r.groupBy(F.col("c").isNotNull().alias("cited")).agg(F.count("*").alias("n"), F.round(F.avg(s), 6).alias("share"))
+    k = M.keyed(M.sources(_raw(spark, d)))
+    got = F.collect_set(F.when((F.col("kind") == "retrieved") & (F.col("snippet") != ""), F.struct("key", "snippet")))
+    g = k.groupBy("row_id").agg(got.alias("got"), F.collect_set(F.when(F.col("kind") == "cited", F.col("key"))).alias("said"))
+    r = g.select("row_id", "said", F.explode("got").alias("x")).join(a, "row_id")
+    s = F.size(F.array_intersect("a", X.tokens(F.col("x.snippet")))) / F.size("a")
+    return r.groupBy(F.array_contains("said", F.col("x.key")).alias("cited")).agg(F.count("*").alias("n"), F.round(F.avg(s), 6).alias("share"))
 
 
 def q50_turn_export(spark, d):
@@ -146,7 +155,7 @@ def f25_citation_marks(spark, d):
 def o04_top_users(spark, d):
     """Ten users with most turns and their share of all turns; null users are no user."""
     g = M.turns(_raw(spark, d)).filter("user_id is not null").groupBy("user_id").agg(F.count("*").alias("n"))
-    return g.withColumn("share", F.round(F.col("n") / F.sum("n").over(W.partitionBy()), 6)).orderBy(F.desc("n"), "user_id").limit(10)
+    return share_of_all(g, "n").orderBy(F.desc("n"), "user_id").limit(10)
 
 
 def j11_query_lookup(spark, d):

@@ -205,8 +205,10 @@ def q40_novel_citations(spark, d):
     sets = sets.filter("size(cited) > 0").select("row_id", F.size("cited").alias("cited"), F.size(new).alias("novel"))
     t = _turns(spark, d).filter("month is not null").select("row_id", "month").join(sets, "row_id")
     m = t.groupBy("month").agg(F.sum("cited").alias("cited"), F.sum("novel").alias("novel"))
-    spine = m.agg(F.sequence(F.min("month"), F.max("month"), F.expr("interval 1 month")).alias("s")).select(F.explode("s").alias("month"))
-    j = spine.join(m, "month", "left").na.fill(0, ["cited", "novel"])
+    # one row of all months, so that the spine needs no second pass
+    one = m.agg(F.map_from_entries(F.collect_list(F.struct("month", F.struct("cited", "novel")))).alias("by"), F.min("month").alias("a"), F.max("month").alias("b")).filter("a is not null")
+    j = one.select("by", F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("month"))
+    j = j.select("month", *[F.coalesce(F.try_element_at("by", F.col("month"))[c], F.lit(0)).alias(c) for c in ("cited", "novel")])
     return j.select(F.date_format("month", "yyyy-MM").alias("month"), "cited", "novel", F.round(F.coalesce(F.try_divide("novel", "cited"), F.lit(0.0)), 6).alias("rate"))
 
 
