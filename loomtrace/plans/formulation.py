@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomtrace.functions import kernels as K
 from loomtrace.functions import text as X
+from loomtrace.operators import blocks
 from loomtrace.operators import messages as M
 from loomtrace.plans.sql import QUERIES as QUERY_TABLES
 from loomtrace.plans.sql import TURNS, with_
@@ -45,11 +46,20 @@ def q21_loops_by_month(spark, d):
     return t.groupBy(F.date_format("month", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"), F.round(F.avg("l"), 6).alias("loops"), F.round(F.avg("p"), 6).alias("queries"))
 
 
+#: Rows of so many consecutive row_ids are ranked together.
+CDF_BLOCK = 50_000
+
+
 def q22_term_cdf(spark, d):
-    """Empirical distribution of query lengths in words by platform: the i-th smallest of n values stands at i/n."""
+    """Empirical distribution of query lengths in words by platform: the i-th smallest of n values stands at i/n.
+
+    Rows are ranked inside blocks of (platform, length, range of row_id); the sizes of the blocks before give the rest.
+    """
     q = M.queries(_raw(spark, d)).select("row_id", "pos", "q", X.term_count(F.col("q")).alias("terms")).join(_turns(spark, d).select("row_id", "platform"), "row_id")
-    w = W.partitionBy("platform").orderBy("terms", "row_id", "pos", "q")
-    return q.select("platform", "row_id", "pos", "q", "terms", F.round(F.row_number().over(w) / F.count("*").over(W.partitionBy("platform")), 6).alias("cdf"))
+    q = q.withColumn("block", F.struct("terms", F.floor(F.col("row_id") / CDF_BLOCK).alias("range")))
+    i = blocks.running(q, ["platform"], "block", ["row_id", "pos", "q"], F.lit(1), "i")
+    n = q.groupBy("platform").agg(F.count("*").alias("n"))
+    return i.join(n, "platform").select("platform", "row_id", "pos", "q", "terms", F.round(F.col("i") / F.col("n"), 6).alias("cdf"))
 
 
 def q22_term_summary(spark, d):

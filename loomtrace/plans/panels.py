@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomtrace.functions import coerce, kernels
 from loomtrace.functions import text as X
-from loomtrace.operators import attribution, stats
+from loomtrace.operators import attribution, blocks, stats
 from loomtrace.session import table
 
 MAX_TYPES = 64
@@ -159,20 +159,23 @@ def w07_first_of_copies(spark, d):
     return g.select("k.doc_id", "k.doc_kind", "copies")
 
 
+def _daily(spark, d):
+    return table(spark, d, "events").withColumn("day", F.to_date("ts"))
+
+
 def w05_last_of_runs(spark, d):
-    """Last event of each run of equal types per user."""
-    e = table(spark, d, "events")
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    r = e.withColumn("new", (~F.lag("event_type").over(w).eqNullSafe(F.col("event_type"))).cast("int")).withColumn("run", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    """Last event of each run of equal types per user, day by day with what the day before ended with."""
+    e = blocks.previous(_daily(spark, d), ["user_id"], "day", ["ts", "event_id"], "event_type", "before")
+    new = (~F.col("before").eqNullSafe(F.col("event_type"))).cast("int")
+    r = blocks.running(e, ["user_id"], "day", ["ts", "event_id"], new, "run")
     return r.groupBy("user_id", "run").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.count("*").alias("length"))
 
 
 def c08_event_turns(spark, d):
     """Turns closed by a purchase; an open tail is left out."""
-    e = table(spark, d, "events")
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    closed = F.coalesce(F.sum((F.col("event_type") == "purchase").cast("int")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    t = e.withColumn("turn", closed).groupBy("user_id", "turn").agg(F.count("*").alias("n"), F.max((F.col("event_type") == "purchase").cast("int")).alias("whole"), F.round(F.sum("value"), 4).alias("value"))
+    closes = (F.col("event_type") == "purchase").cast("int")
+    t = blocks.running(_daily(spark, d), ["user_id"], "day", ["ts", "event_id"], closes, "turn", inclusive=False)
+    t = t.groupBy("user_id", "turn").agg(F.count("*").alias("n"), F.max(closes).alias("whole"), F.round(F.sum("value"), 4).alias("value"))
     return t.filter("whole = 1").select("user_id", "turn", "n", "value")
 
 

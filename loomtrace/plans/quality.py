@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from loomtrace.functions import text as X
 from loomtrace.functions import urls
-from loomtrace.operators import attribution
+from loomtrace.operators import attribution, blocks, threads
 from loomtrace.operators import messages as M
 from loomtrace.operators.stats import share_of_all
 from loomtrace.plans.sql import KEY, SOURCES, TURNS, with_
@@ -128,15 +128,22 @@ def q47_support_by_kind(spark, d):
     return r.groupBy(F.array_contains("said", F.col("x.key")).alias("cited")).agg(F.count("*").alias("n"), F.round(F.avg(s), 6).alias("share"))
 
 
+TURN_BLOCK = 10_000
+
+
 def q50_turn_export(spark, d):
-    """Turn table of the message rows: rows up to each closing one, by conversation in order of their row; open tails are left out."""
-    m = table(spark, d, "turn_messages").filter("lower(trim(author_role)) <> 'system'")
-    w = W.partitionBy("conv_id").orderBy("msg_row")
-    end = F.coalesce(F.col("end_turn"), F.lit(False)).cast("int")
-    m = m.withColumn("turn_no", F.coalesce(F.sum(end).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("end", end)
-    call = (F.lower(F.trim("author_role")).isin("assistant", "bot")) & (F.coalesce("recipient", F.lit("all")) != "all") & F.col("create_time").isNotNull()
-    g = m.groupBy("conv_id", "turn_no").agg(F.count("*").alias("messages"), F.max_by("msg_id", "msg_row").alias("turn_id"), F.count_if(call).alias("tool_calls"), F.max("end").alias("closed"))
-    return g.filter("closed = 1").select("conv_id", "turn_no", "turn_id", "messages", "tool_calls")
+    """Turn table of the message rows: the newest state of each message, along the first children from the start of its
+    conversation, without system messages, cut after each closing message; open tails are left out. One row per turn,
+    named by its last message, with its tool calls (assistant messages with a time that go to someone) and its steps."""
+    m = threads.newest(table(spark, d, "turn_messages"), "author_role", "recipient", "create_time", "end_turn")
+    m = threads.path(m).withColumn("role", threads.role(F.col("author_role"))).filter("role <> 'system'")
+    m = m.withColumns({"end": F.coalesce(F.col("end_turn"), F.lit(False)).cast("int"), "block": F.floor(F.col("depth") / TURN_BLOCK)})
+    m = blocks.running(m, ["conv_id"], "block", ["depth"], F.col("end"), "turn_no", inclusive=False)
+    to = F.coalesce("recipient", F.lit("all"))
+    call = F.col("role").isin("assistant", "bot") & (to != "all") & (F.col("create_time") != 0)
+    steps = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("depth", F.concat_ws(":", "role", to).alias("x")))), lambda x: x["x"]), ",")
+    g = m.groupBy("conv_id", "turn_no").agg(F.count("*").alias("messages"), F.max_by("msg_id", "depth").alias("turn_id"), F.count_if(call).alias("tool_calls"), F.max("end").alias("closed"), steps.alias("interactions"))
+    return g.filter("closed = 1").select("conv_id", "turn_no", "turn_id", "messages", "tool_calls", "interactions")
 
 
 def f33_markup_regex(spark, d):
@@ -169,6 +176,16 @@ def j11_query_lookup(spark, d):
 
 _KIND = "CASE WHEN regexp_matches(lower(q), 'statistics|numbers|how (much|many)') THEN 'fact' WHEN regexp_matches(lower(q), 'guide|how |explain') THEN 'guide' WHEN regexp_matches(lower(q), 'latest|news|recent|updates') THEN 'news' ELSE 'other' END"
 _TOK = "regexp_extract_all(lower(coalesce({0}, '')), '(\\p{{L}}+|\\d+)')"
+#: The path of first children of every conversation, written from the definition of the message table.
+PATH_SQL = """
+WITH RECURSIVE ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id, msg_id ORDER BY batch_no DESC, msg_row DESC) AS rn FROM turn_messages WHERE conv_id IS NOT NULL AND msg_id IS NOT NULL),
+m AS (SELECT conv_id, msg_id, msg_row, child_no, lower(trim(coalesce(author_role, ''))) AS role, recipient, create_time, end_turn,
+  CASE WHEN lower(trim(parent_id)) IN ('', 'root') THEN NULL ELSE parent_id END AS parent FROM ranked WHERE rn = 1),
+start AS (SELECT a.conv_id, arg_min(a.msg_id, a.msg_row) AS msg_id FROM m a LEFT JOIN m b ON a.conv_id = b.conv_id AND a.parent = b.msg_id WHERE b.msg_id IS NULL GROUP BY 1),
+kid AS (SELECT *, row_number() OVER (PARTITION BY conv_id, parent ORDER BY child_no NULLS LAST, msg_id) AS k FROM m WHERE parent IS NOT NULL),
+path AS (SELECT m.*, 0 AS depth FROM m JOIN start USING (conv_id, msg_id)
+ UNION ALL SELECT kid.* EXCLUDE (k), path.depth + 1 FROM path JOIN kid ON kid.conv_id = path.conv_id AND kid.parent = path.msg_id AND kid.k = 1)
+"""
 ORACLES = {
     "q27_kind_by_stage": with_(TURNS, QUERY_TABLES, "a AS (SELECT 0 AS stage, users[-1] AS q FROM turns WHERE users[-1] IS NOT NULL UNION ALL SELECT least(loop_idx, 3), unnest(queries) FROM loops)", f"g AS (SELECT stage, {_KIND} AS kind, count(*) AS n FROM a GROUP BY 1, 2)", "s AS (SELECT stage, unnest(['fact', 'guide', 'news', 'other']) AS kind FROM (SELECT DISTINCT stage FROM g))") + "SELECT stage, kind, coalesce(n, 0) AS n, round(coalesce(n, 0) / sum(coalesce(n, 0)) OVER (PARTITION BY stage), 6) AS share FROM s LEFT JOIN g USING (stage, kind)",
     "q28_relation_sets": with_(QUERY_TABLES, f"k AS (SELECT DISTINCT row_id, {_KIND} AS k FROM queries)") + "SELECT kinds, size, count(*) AS n FROM (SELECT row_id, string_agg(k, '+' ORDER BY k) AS kinds, count(*) AS size FROM k GROUP BY 1) GROUP BY 1, 2",
@@ -178,7 +195,7 @@ ORACLES = {
     "q37_safe_against_rest": with_(TURNS, SOURCES, "k AS (SELECT row_id, key, bool_or(kind = 'safe') AS safe FROM source_keys WHERE kind IN ('retrieved', 'safe') GROUP BY 1, 2)") + "SELECT strftime(month, '%Y-%m') AS month, safe, count(*) AS n, round(avg((regexp_matches(key, '^https?://') AND NOT contains(key, 'harbour-desk.'))::INT), 6) AS alive FROM k JOIN turns USING (row_id) WHERE month IS NOT NULL GROUP BY 1, 2",
     "q43_rank_by_kind": with_(SOURCES, "c AS (SELECT DISTINCT row_id, " + KEY.format("url") + " AS key FROM cited)", "r AS (SELECT r.row_id, ref_index + 1 AS rank, c.key IS NOT NULL AS c FROM retrieved r LEFT JOIN c ON c.row_id = r.row_id AND c.key = " + KEY.format("r.url") + " WHERE ref_index >= 0)", "g AS (SELECT row_id, avg(rank) FILTER (WHERE c) AS a, avg(rank) FILTER (WHERE NOT c) AS b FROM r GROUP BY 1)") + "SELECT count(*) AS n, round(avg(a), 6) AS cited, round(avg(b), 6) AS other, count(*) FILTER (WHERE a < b) AS cited_better FROM g WHERE a IS NOT NULL AND b IS NOT NULL",
     "q47_support_by_kind": with_(TURNS, SOURCES.replace("ev ->> '$.title' AS title,", "ev ->> '$.title' AS title, ev ->> '$.snippet' AS snippet,").replace("e, ev ->> '$.url', ev ->> '$.title',", "e, ev ->> '$.url', ev ->> '$.title', ev ->> '$.snippet',"), "c AS (SELECT DISTINCT row_id, " + KEY.format("url") + " AS key FROM cited)", "r AS (SELECT DISTINCT row_id, " + KEY.format("url") + " AS key, snippet FROM retrieved WHERE snippet <> '')", f"a AS (SELECT row_id, list_distinct({_TOK.format('answers[-1]')}) AS a FROM turns)") + f"SELECT c.key IS NOT NULL AS cited, count(*) AS n, round(avg(len(list_filter(a, lambda x: list_contains({_TOK.format('snippet')}, x))) / len(a)), 6) AS share FROM r JOIN a USING (row_id) LEFT JOIN c ON c.row_id = r.row_id AND c.key = r.key WHERE len(a) > 0 GROUP BY 1",
-    "q50_turn_export": "WITH m AS (SELECT *, coalesce(sum(coalesce(end_turn, false)::INT) OVER (PARTITION BY conv_id ORDER BY msg_row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS turn_no FROM turn_messages WHERE lower(trim(author_role)) <> 'system') SELECT conv_id, turn_no, arg_max(msg_id, msg_row) AS turn_id, count(*) AS messages, count(*) FILTER (WHERE lower(trim(author_role)) IN ('assistant', 'bot') AND coalesce(recipient, 'all') <> 'all' AND create_time IS NOT NULL) AS tool_calls FROM m GROUP BY 1, 2 HAVING bool_or(coalesce(end_turn, false))",
+    "q50_turn_export": PATH_SQL + "SELECT conv_id, turn_no, arg_max(msg_id, depth) AS turn_id, count(*) AS messages, count(*) FILTER (WHERE role IN ('assistant', 'bot') AND coalesce(recipient, 'all') <> 'all' AND create_time <> 0) AS tool_calls, string_agg(role || ':' || coalesce(recipient, 'all'), ',' ORDER BY depth) AS interactions FROM (SELECT *, coalesce(sum(coalesce(end_turn, false)::INT) OVER (PARTITION BY conv_id ORDER BY depth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS turn_no FROM path WHERE role <> 'system') GROUP BY 1, 2 HAVING bool_or(coalesce(end_turn, false))",
     "f33_markup_regex": "SELECT doc_id, length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '<[^<>]*>', ' ', 'g'), '&[a-z]+;', ' ', 'g'), '[ \\t\\n]+', ' ', 'g'), '^ +| +$', '', 'g')) AS chars FROM documents WHERE text IS NOT NULL",
     "o04_top_users": with_(TURNS) + "SELECT user_id, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM turns WHERE user_id IS NOT NULL GROUP BY 1 ORDER BY n DESC, user_id LIMIT 10",
     "j11_query_lookup": with_(TURNS, QUERY_TABLES, "t AS (SELECT conv_id, turn_id, row_id, (SELECT count(*) FROM queries q WHERE q.row_id = turns.row_id) AS n FROM turns WHERE conv_id IS NOT NULL AND turn_id IS NOT NULL)") + "SELECT conv_id, turn_id, arg_max(row_id, (n, -row_id)) AS row_id, count(*) AS rows FROM t GROUP BY 1, 2 HAVING count(*) > 1",
