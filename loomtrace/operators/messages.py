@@ -75,12 +75,17 @@ def messages(raw: DataFrame) -> DataFrame:
     return spread(raw.select("row_id", "turn_msgs")).select("row_id", F.try_parse_json("turn_msgs").alias("v")).select("row_id", F.posexplode(F.expr("try_variant_get(v, '$', 'array<variant>')")).alias("pos", "m"))
 
 
-def queries(raw: DataFrame) -> DataFrame:
-    """(row_id, pos, q): distinct search queries of each message."""
+def _message_queries() -> Column:
+    """Distinct search queries of a message ``m``, in order."""
+    none = F.array().cast("array<string>")
     single = F.transform(list_field("m", "metadata.search_queries"), lambda x: F.try_variant_get(x, "$.q", "string"))
     joint = field("m", "metadata.search_model_queries.queries", "array<string>")
-    both = F.array_distinct(F.filter(F.concat(F.coalesce(single, F.array().cast("array<string>")), F.coalesce(joint, F.array().cast("array<string>"))), lambda q: q.isNotNull() & (q != "")))
-    return messages(raw).select("row_id", "pos", both.alias("qs")).filter(F.size("qs") > 0).select("row_id", "pos", F.explode("qs").alias("q"))
+    return F.array_distinct(F.filter(F.concat(F.coalesce(single, none), F.coalesce(joint, none)), lambda q: q.isNotNull() & (q != "")))
+
+
+def queries(raw: DataFrame) -> DataFrame:
+    """(row_id, pos, q): distinct search queries of each message."""
+    return messages(raw).select("row_id", "pos", _message_queries().alias("qs")).filter(F.size("qs") > 0).select("row_id", "pos", F.explode("qs").alias("q"))
 
 
 def loops(raw: DataFrame) -> DataFrame:
@@ -89,6 +94,42 @@ def loops(raw: DataFrame) -> DataFrame:
     return closing.select("row_id", F.row_number().over(W.partitionBy("row_id").orderBy("pos")).alias("loop_idx"), "pos", "n_queries", "queries")
 
 
+def loop_context(raw: DataFrame) -> DataFrame:
+    """(row_id, loop_idx, queries, thoughts, sources, memories): what stands between one query-bearing message and the
+    next, that message included, all in order of the messages; what follows the last query is left out.
+
+    A source is one text of title, domain and snippet, one per line; an image result has no snippet.
+    """
+    none = F.array().cast("array<string>")
+
+    def texts(sql: str) -> Column:
+        return F.filter(F.coalesce(F.expr(sql), none), lambda x: x.isNotNull())
+
+    def described(v: str, host: str) -> str:
+        parts = ", ".join(f"coalesce({x}, '')" for x in (f"try_variant_get({v}, '$.title', 'string')", host, f"try_variant_get({v}, '$.snippet', 'string')"))
+        return f"concat_ws('\\n', {parts})"
+
+    host = "try_variant_get(g, '$.domain', 'string')"
+    groups = f"flatten(filter(transform({list_sql('m', 'metadata.search_result_groups')}, g -> transform({list_sql('g', 'entries')}, x -> {described('x', host)})), l -> l IS NOT NULL))"
+    no_text = "''"
+    images = f"transform({list_sql('m', 'metadata.image_results')}, x -> {described('x', no_text)})"
+    thoughts = f"CASE WHEN try_variant_get(m, '$.content.content_type', 'string') = 'thoughts' THEN transform({list_sql('m', 'content.thoughts')}, x -> coalesce(try_variant_get(x, '$.content', 'string'), '')) END"
+    memory = field("m", "metadata.user_context_message_data.about_user_message")
+    parts = messages(raw).select(
+        "row_id", "pos", _message_queries().alias("q"), texts(thoughts).alias("t"), F.concat(texts(groups), texts(images)).alias("s"),
+        F.when(F.trim(memory) != "", F.array(memory)).otherwise(none).alias("m"),
+    )
+    closed = F.sum((F.size("q") > 0).cast("int")).over(W.partitionBy("row_id").orderBy("pos").rowsBetween(W.unboundedPreceding, -1))
+    rows = parts.withColumn("loop_idx", (F.coalesce(closed, F.lit(0)) + 1).cast("int"))
+    x = F.array_sort(F.collect_list(F.struct("pos", "q", "t", "s", "m")))
+    g = rows.groupBy("row_id", "loop_idx").agg(x.alias("x"), F.max(F.size("q")).alias("n")).filter("n > 0")
+
+    def of(name: str) -> Column:
+        return F.flatten(F.transform("x", lambda y: y[name]))
+
+    return g.select("row_id", "loop_idx", F.array_sort(F.array_distinct(of("q"))).alias("queries"), of("t").alias("thoughts"), of("s").alias("sources"), of("m").alias("memories"))
+
+
 IMAGES = 1_000_000
 
 

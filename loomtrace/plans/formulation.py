@@ -10,7 +10,7 @@ from loomtrace.functions import text as X
 from loomtrace.operators import blocks
 from loomtrace.operators import messages as M
 from loomtrace.plans.sql import QUERIES as QUERY_TABLES
-from loomtrace.plans.sql import TURNS, with_
+from loomtrace.plans.sql import CONTEXT, PROVENANCE, SOURCES, TURNS, with_
 from loomtrace.session import table
 
 
@@ -112,25 +112,82 @@ def n03_bleu4(spark, d):
     return q.join(u, "row_id").groupBy("platform").agg(F.count("*").alias("n"), F.round(F.avg(K.bleu(F.col("c"), F.col("r"), 4)), 5).alias("bleu4"))
 
 
-def n06_word_provenance(spark, d):
-    """Where each distinct query word of a turn comes from: current prompt, earlier history, else the model itself."""
-    q = M.queries(_raw(spark, d)).select("row_id", F.explode(X.tokens(F.col("q"))).alias("w")).distinct()
-    t = _turns(spark, d)
-    user = t.select("row_id", F.explode(X.tokens(F.element_at("users", -1))).alias("w")).distinct().withColumn("u", F.lit(1))
+ORIGINS = ("user", "history", "memory", "source", "model")
+
+
+def _words(texts):
+    return F.array_distinct(F.flatten(F.transform(texts, lambda t: X.tokens(t))))
+
+
+def word_origins(spark, d):
+    """(row_id, n_loops, one list of words per origin): where the distinct words of each loop's queries come from.
+
+    The first that holds a word counts: current prompt, earlier history, the loop's memories, the loop's sources, else
+    the model itself. Lists are distinct over the loops of a turn, so a word can stand in two.
+    """
     n = F.size("users")
     old = F.concat(F.slice("users", 1, F.greatest(n - 1, F.lit(0))), F.coalesce("answers", F.array().cast("array<string>")))
-    hist = t.select("row_id", F.explode(old).alias("t")).select("row_id", F.explode(X.tokens(F.col("t"))).alias("w")).distinct().withColumn("h", F.lit(1))
-    j = q.join(user, ["row_id", "w"], "left").join(hist, ["row_id", "w"], "left")
-    c = j.groupBy("row_id").agg(F.count_if(F.col("u").isNotNull()).alias("user"), F.count_if(F.col("u").isNull() & F.col("h").isNotNull()).alias("history"), F.count_if(F.col("u").isNull() & F.col("h").isNull()).alias("model"), F.count("*").alias("words"))
-    return c.withColumn("user_rate", F.round(F.col("user") / F.col("words"), 6))
+    t = _turns(spark, d).select("row_id", F.array_distinct(X.tokens(F.element_at("users", -1))).alias("uw"), _words(old).alias("hw"))
+    c = M.loop_context(_raw(spark, d)).select("row_id", "loop_idx", _words(F.col("queries")).alias("w0"), _words(F.col("memories")).alias("mw"), _words(F.col("sources")).alias("sw"))
+    j = c.join(t, "row_id")
+    none = F.array().cast("array<string>")
+    for i, known in enumerate(("uw", "hw", "mw", "sw")):
+        found = F.array_intersect(f"w{i}", F.coalesce(known, none))
+        j = j.withColumn(f"f{i}", found).withColumn(f"w{i + 1}", F.array_except(f"w{i}", f"f{i}"))
+    lists = dict(zip(ORIGINS, ("f0", "f1", "f2", "f3", "w4")))
+    return j.groupBy("row_id").agg(F.max("loop_idx").alias("n_loops"), *[F.array_distinct(F.flatten(F.collect_list(c))).alias(f"{o}_words") for o, c in lists.items()])
 
 
-def n08_rouge(spark, d):
-    """ROUGE precision of the last answer against the snippets the turn retrieved."""
+def c14_loop_context(spark, d):
+    """Thoughts, sources and memories that lead to each loop's queries."""
+    c = M.loop_context(_raw(spark, d))
+    return c.select("row_id", "loop_idx", F.size("queries").alias("n_queries"), *[F.size(x).alias(f"n_{x}") for x in ("thoughts", "sources", "memories")], F.md5(F.concat_ws("|", F.array_join("thoughts", "|"), F.array_join("sources", "|"), F.array_join("memories", "|"))).alias("context_md5"))
+
+
+def n06_word_provenance(spark, d):
+    """Number of distinct query words of a turn by origin."""
+    o = word_origins(spark, d)
+    return o.select("row_id", "n_loops", *[F.size(f"{x}_words").alias(x) for x in ORIGINS])
+
+
+def factor_words(spark, d):
+    """Words a turn's queries draw on, as the factor reports count them: history with the prompt's, unexplained with the memories'."""
+    o = word_origins(spark, d)
+    return o.select("row_id", "n_loops", F.col("user_words").alias("user"), F.array_union("history_words", "user_words").alias("history"), F.col("source_words").alias("sources"), F.array_union("model_words", "memory_words").alias("unexplained"))
+
+
+FACTORS = ("user", "history", "sources", "unexplained")
+
+
+def n07_factor_rates(spark, d):
+    """Share of each factor in the distinct words of a turn; a word can count for several factors."""
+    f = factor_words(spark, d)
+    f = f.withColumn("words", F.size(F.array_union(F.array_union("user", "history"), F.array_union("sources", "unexplained")))).filter("words > 0")
+    return f.select("row_id", "n_loops", "words", *[F.round(F.size(x) / F.col("words"), 6).alias(f"{x}_rate") for x in FACTORS])
+
+
+def a49_factor_shares(spark, d):
+    """Share of each factor in all factors' words, for turns of one loop (which have no sources yet) and of several."""
+    f = factor_words(spark, d).withColumn("loops", F.when(F.col("n_loops") > 1, "several").otherwise("one"))
+    long = f.select("loops", F.explode(F.array(*[F.struct(F.lit(x).alias("factor"), F.size(x).alias("n")) for x in FACTORS])).alias("x")).select("loops", "x.*")
+    g = long.filter("NOT (loops = 'one' AND factor = 'sources')").groupBy("loops", "factor").agg(F.sum("n").alias("words"))
+    return g.withColumn("share", F.round(F.col("words") / F.sum("words").over(W.partitionBy("loops")), 6))
+
+
+def _pages_and_answers(spark, d):
     pages = M.retrieved(_raw(spark, d)).filter("snippet <> ''").groupBy("row_id").agg(F.array_join(F.array_sort(F.collect_set("snippet")), " ").alias("page"))
     a = _turns(spark, d).select("row_id", X.tokens(F.try_element_at("answers", F.lit(-1))).alias("a")).filter(F.size("a") > 0)
-    j = pages.select("row_id", X.tokens(F.col("page")).alias("p")).join(a, "row_id")
-    return j.select("row_id", F.round(K.rouge_precision(F.col("p"), F.col("a"), 1), 6).alias("rouge1"), F.round(K.rouge_precision(F.col("p"), F.col("a"), 2), 6).alias("rouge2"), F.round(K.rouge_l_precision("p", "a"), 6).alias("rouge_l"))
+    return pages.select("row_id", X.tokens(F.col("page")).alias("p")).join(a, "row_id")
+
+
+def n08_rouge(spark, d):
+    """ROUGE-1 and ROUGE-2 precision of the last answer against the snippets the turn retrieved."""
+    return _pages_and_answers(spark, d).select("row_id", F.round(K.rouge_precision(F.col("p"), F.col("a"), 1), 6).alias("rouge1"), F.round(K.rouge_precision(F.col("p"), F.col("a"), 2), 6).alias("rouge2"))
+
+
+def n08_rouge_l(spark, d):
+    """ROUGE-L precision of the same; a longest common subsequence has no SQL, a test compares it with a table."""
+    return _pages_and_answers(spark, d).select("row_id", F.round(K.rouge_l_precision("p", "a"), 6).alias("rouge_l"))
 
 
 def j09_transitions(spark, d):
@@ -171,6 +228,17 @@ _TERMS = "len(list_filter(regexp_split_to_array({0}, '\\s+'), lambda x: x <> '')
 _B = "CASE WHEN {0} >= 3 THEN '3+' ELSE {0}::VARCHAR END"
 _OVER = "list_sum(list_transform(list_distinct(c), lambda x: least(len(list_filter(c, lambda y: y = x)), len(list_filter(r, lambda y: y = x)))))"
 _SIM = with_(TURNS, QUERY_TABLES, f"j AS (SELECT row_id, {_TOK.format('q')} AS c, {_TOK.format('users[-1]')} AS r FROM queries JOIN turns USING (row_id))", f"o AS (SELECT row_id, coalesce({_OVER}, 0)::DOUBLE AS o, len(c) AS nc, len(r) AS nr FROM j WHERE len(r) > 0)")
+def _grams(x: str, n: int) -> str:
+    return x if n == 1 else f"list_transform(range(1, len({x}) - {n - 2}), lambda i: array_to_string({x}[i:i + {n - 1}], ' '))"
+
+
+def _hits(n: int) -> str:
+    """Size of the multiset intersection of the n-grams of c and r."""
+    c, r = _grams("c", n), _grams("r", n)
+    return f"coalesce(list_sum(list_transform(list_distinct({c}), lambda x: least(len(list_filter({c}, lambda y: y = x)), len(list_filter({r}, lambda y: y = x))))), 0)::DOUBLE"
+
+
+_FACTOR_SQL = "factor AS (SELECT *, len(list_distinct(list_concat(list_concat(user, history), list_concat(sources, unexplained)))) AS words FROM (SELECT row_id, n_loops, user_words AS user, list_distinct(list_concat(history_words, user_words)) AS history, source_words AS sources, list_distinct(list_concat(model_words, memory_words)) AS unexplained FROM origin))"
 _EDGE = "CASE WHEN new = 0 AND lost = 0 THEN {same} WHEN {narrow} lost = 0 THEN 'expansion' ELSE 'rewriting' END"
 _DIFF = "len(list_distinct(list_filter({0}, lambda x: NOT list_contains({1}, x))))"
 ORACLES = {
@@ -183,7 +251,12 @@ ORACLES = {
     "q23_term_band": with_(TURNS, QUERY_TABLES, f"t AS (SELECT month, least(loop_idx, 3) AS bucket, {_TERMS.format('q')} AS n FROM (SELECT row_id, loop_idx, unnest(queries) AS q FROM loops) JOIN turns USING (row_id) WHERE month IS NOT NULL)", "g AS (SELECT month, bucket, count(*) AS queries, avg(n) AS m, coalesce(stddev_samp(n), 0) / sqrt(count(*)) AS se FROM t GROUP BY 1, 2)") + "SELECT strftime(month, '%Y-%m') AS month, bucket, queries, round(m, 6) AS mean, round(greatest(0, m - se), 6) AS low, round(m + se, 6) AS high FROM g",
     "q24_query_turns_by_month": with_(TURNS, QUERY_TABLES) + "SELECT strftime(month, '%Y-%m') AS month, count(DISTINCT turn_id) AS turns, count(DISTINCT turn_id) FILTER (WHERE row_id IN (SELECT row_id FROM loops)) AS with_queries, round(count(DISTINCT turn_id) FILTER (WHERE row_id IN (SELECT row_id FROM loops)) / count(DISTINCT turn_id), 6) AS rate FROM turns WHERE month IS NOT NULL AND turn_id IS NOT NULL GROUP BY 1",
     "n04_query_similarity": _SIM + "SELECT row_id, round(avg(o / greatest(nc, 1)), 5) AS precision, round(avg(o / greatest(nr, 1)), 5) AS recall, round(avg(CASE WHEN o > 0 THEN 2 * (o / nc) * (o / nr) / (o / nc + o / nr) ELSE 0 END), 5) AS f1, round(avg(CASE WHEN o > 0 THEN (CASE WHEN nc > nr THEN 1 ELSE exp(1 - nr / nc) END) * o / nc ELSE 0 END), 5) AS bleu1 FROM o GROUP BY 1",
-    "n06_word_provenance": with_(TURNS, QUERY_TABLES, f"q AS (SELECT DISTINCT row_id, unnest({_TOK.format('q')}) AS w FROM queries)", f"k AS (SELECT row_id, {_TOK.format('users[-1]')} AS u, {_TOK.format('concat_ws(chr(10), array_to_string(users[:-2], chr(10)), array_to_string(answers, chr(10)))')} AS h FROM turns)", "x AS (SELECT row_id, list_contains(u, w) AS u, list_contains(h, w) AS h FROM q JOIN k USING (row_id))") + "SELECT row_id, count(*) FILTER (WHERE u) AS user, count(*) FILTER (WHERE NOT u AND h) AS history, count(*) FILTER (WHERE NOT u AND NOT h) AS model, count(*) AS words, round(count(*) FILTER (WHERE u) / count(*), 6) AS user_rate FROM x GROUP BY 1",
+    "n03_bleu4": with_(TURNS, QUERY_TABLES, f"j AS (SELECT platform, {_TOK.format('q')} AS c, {_TOK.format('users[-1]')} AS r FROM queries JOIN turns USING (row_id))", "g AS (SELECT platform, len(c) AS nc, len(r) AS nr, " + ", ".join(f"{_hits(n)} AS h{n}, greatest(len(c) - {n - 1}, 0) AS t{n}" for n in (1, 2, 3, 4)) + " FROM j WHERE len(c) > 0 AND len(r) > 0)") + "SELECT platform, count(*) AS n, round(avg(CASE WHEN h1 > 0 THEN (CASE WHEN nc > nr THEN 1 ELSE exp(1 - nr / nc) END) * exp((" + " + ".join(f"ln((CASE WHEN h{n} > 0 THEN h{n} ELSE 0.1 END) / greatest(t{n}, 1))" for n in (1, 2, 3, 4)) + ") / 4) ELSE 0 END), 5) AS bleu4 FROM g GROUP BY 1",
+    "n08_rouge": with_(TURNS, SOURCES, "p AS (SELECT row_id, string_agg(snippet, ' ' ORDER BY snippet) AS page FROM (SELECT DISTINCT row_id, snippet FROM retrieved WHERE snippet <> '') GROUP BY 1)", f"j AS (SELECT row_id, {_TOK.format('answers[-1]')} AS c, {_TOK.format('page')} AS r FROM p JOIN turns USING (row_id))") + f"SELECT row_id, round({_hits(1)} / len(c), 6) AS rouge1, round(CASE WHEN len(c) > 1 THEN {_hits(2)} / (len(c) - 1) ELSE 0 END, 6) AS rouge2 FROM j WHERE len(c) > 0",
+    "c14_loop_context": with_(QUERY_TABLES, CONTEXT) + "SELECT row_id, loop_idx, len(queries) AS n_queries, len(thoughts) AS n_thoughts, len(sources) AS n_sources, len(memories) AS n_memories, md5(array_to_string(thoughts, '|') || '|' || array_to_string(sources, '|') || '|' || array_to_string(memories, '|')) AS context_md5 FROM context",
+    "n06_word_provenance": with_(TURNS, QUERY_TABLES, CONTEXT, PROVENANCE) + "SELECT row_id, n_loops, len(user_words) AS user, len(history_words) AS history, len(memory_words) AS memory, len(source_words) AS source, len(model_words) AS model FROM origin",
+    "n07_factor_rates": with_(TURNS, QUERY_TABLES, CONTEXT, PROVENANCE, _FACTOR_SQL) + "SELECT row_id, n_loops, words, " + ", ".join(f"round(len({x}) / words, 6) AS {x}_rate" for x in FACTORS) + " FROM factor WHERE words > 0",
+    "a49_factor_shares": with_(TURNS, QUERY_TABLES, CONTEXT, PROVENANCE, _FACTOR_SQL, "g AS (SELECT CASE WHEN n_loops > 1 THEN 'several' ELSE 'one' END AS loops, unnest(['user', 'history', 'sources', 'unexplained']) AS factor, unnest([len(user), len(history), len(sources), len(unexplained)]) AS n FROM factor)") + "SELECT loops, factor, sum(n)::BIGINT AS words, round(sum(n) / sum(sum(n)) OVER (PARTITION BY loops), 6) AS share FROM g WHERE NOT (loops = 'one' AND factor = 'sources') GROUP BY 1, 2",
     "j09_transitions": with_(TURNS, QUERY_TABLES, f"q AS (SELECT row_id, loop_idx, {_TOK.format('q')} AS w FROM (SELECT row_id, loop_idx, unnest(queries) AS q FROM loops))", f"f AS (SELECT row_id, 1 AS loop_idx, {_TOK.format('users[-1]')} AS fw FROM turns WHERE users[-1] IS NOT NULL UNION ALL SELECT row_id, loop_idx + 1, w FROM q)", f"e AS (SELECT least(loop_idx, 3) AS step, {_DIFF.format('w', 'fw')} AS new, {_DIFF.format('fw', 'w')} AS lost FROM q JOIN f USING (row_id, loop_idx))", f"k AS (SELECT step, {_EDGE.format(same=chr(39) + 'same' + chr(39), narrow='new = 0 THEN ' + chr(39) + 'narrowing' + chr(39) + ' WHEN')} AS kind FROM e)") + "SELECT step, kind, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY step), 6) AS rate FROM k GROUP BY 1, 2",
     "a44_destination_rollup": with_(QUERY_TABLES, f"q AS (SELECT row_id, loop_idx, q, {_TOK.format('q')} AS w FROM (SELECT row_id, loop_idx, unnest(queries) AS q FROM loops))", f"e AS (SELECT a.row_id, a.loop_idx, a.q, {_DIFF.format('a.w', 'b.w')} AS new, {_DIFF.format('b.w', 'a.w')} AS lost FROM q a JOIN q b ON a.row_id = b.row_id AND a.loop_idx = b.loop_idx + 1)", f"k AS (SELECT row_id, loop_idx, q, list_distinct(list({_EDGE.format(same=chr(39) + 'other' + chr(39), narrow='')})) AS k FROM e GROUP BY 1, 2, 3)") + "SELECT CASE WHEN len(list_filter(k, lambda x: x <> 'other')) >= 2 THEN 'hybrid' WHEN len(list_filter(k, lambda x: x <> 'other')) = 1 THEN list_filter(k, lambda x: x <> 'other')[1] ELSE 'other' END AS label, count(*) AS n FROM k GROUP BY 1",
     "w04_refs_runs": with_(QUERY_TABLES, "b AS (SELECT *, CASE WHEN lag(n_queries) OVER (PARTITION BY row_id ORDER BY loop_idx) IS NOT DISTINCT FROM n_queries THEN 0 ELSE 1 END AS new FROM loops)", "r AS (SELECT *, sum(new) OVER (PARTITION BY row_id ORDER BY loop_idx) AS run FROM b)") + "SELECT row_id, run::BIGINT AS run, max(loop_idx) AS last_loop, any_value(n_queries) AS n_queries, count(*) AS length FROM r GROUP BY 1, 2",
@@ -191,7 +264,7 @@ ORACLES = {
 QUERIES = {
     f.__name__: f
     for f in (
-        c14_loops, q20_loop_histogram, q21_loops_by_month, q22_term_cdf, q22_term_summary, q22_iteration_timeline, q23_term_band, q24_query_turns_by_month, n04_query_similarity, n03_bleu4, n06_word_provenance, n08_rouge,
+        c14_loops, q20_loop_histogram, q21_loops_by_month, q22_term_cdf, q22_term_summary, q22_iteration_timeline, q23_term_band, q24_query_turns_by_month, n04_query_similarity, n03_bleu4, c14_loop_context, n06_word_provenance, n07_factor_rates, a49_factor_shares, n08_rouge, n08_rouge_l,
         j09_transitions, a44_destination_rollup, w04_refs_runs,
     )
 }

@@ -15,7 +15,8 @@ from loomtrace.functions import urls
 from loomtrace.operators import attribution, blocks, threads
 from loomtrace.operators import messages as M
 from loomtrace.operators.stats import share_of_all
-from loomtrace.plans.sql import KEY, SOURCES, TURNS, with_
+from loomtrace.plans import formulation
+from loomtrace.plans.sql import CONTEXT, KEY, PROVENANCE, SOURCES, TURNS, with_
 from loomtrace.plans.sql import QUERIES as QUERY_TABLES
 from loomtrace.session import table
 
@@ -65,20 +66,17 @@ def q13_intent_share(spark, d):
 
 
 def q18_provenance_by_month(spark, d):
-    """Share of query words taken from the prompt, per month."""
-    q = M.queries(_raw(spark, d)).select("row_id", F.explode(X.tokens(F.col("q"))).alias("w")).distinct()
-    t = _turns(spark, d)
-    u = t.select("row_id", F.explode(X.tokens(F.element_at("users", -1))).alias("w")).distinct().withColumn("u", F.lit(1))
-    j = q.join(u, ["row_id", "w"], "left").join(t.filter("month is not null").select("row_id", "month"), "row_id")
-    return j.groupBy(F.date_format("month", "yyyy-MM").alias("month")).agg(F.count("*").alias("words"), F.round(F.count("u") / F.count("*"), 6).alias("user_rate"))
+    """Mean share of each factor in the words of a turn's queries, per month."""
+    r = formulation.n07_factor_rates(spark, d).join(_turns(spark, d).filter("month is not null").select("row_id", "month"), "row_id")
+    return r.groupBy(F.date_format("month", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"), *[F.round(F.avg(f"{x}_rate"), 5).alias(x) for x in formulation.FACTORS])
 
 
 def q19_one_loop_check(spark, d):
-    """Turns with one loop: how many have results before their only query (there should be none to draw words from)."""
-    l = M.loops(_raw(spark, d)).groupBy("row_id").agg(F.count("*").alias("n"), F.max("pos").alias("p")).filter("n = 1")
-    r = M.retrieved(_raw(spark, d)).select("row_id", "pos")
-    b = l.join(r, "row_id").filter("pos < p").select("row_id").distinct().withColumn("b", F.lit(1))
-    return l.join(b, "row_id", "left").agg(F.count("*").alias("one_loop"), F.count("b").alias("results_before"))
+    """Turns with one loop: how many hold sources before its query ends, and how many draw words of the query from them."""
+    o = formulation.word_origins(spark, d).filter("n_loops = 1").select("row_id", F.size("source_words").alias("drawn"))
+    c = M.loop_context(_raw(spark, d)).filter("loop_idx = 1").select("row_id", F.size("sources").alias("sources"))
+    j = c.join(o, "row_id")
+    return j.agg(F.count("*").alias("one_loop"), F.count_if(F.col("sources") > 0).alias("with_sources"), F.count_if(F.col("drawn") > 0).alias("drawing_on_them"), F.sum("drawn").alias("words"))
 
 
 def q37_safe_against_rest(spark, d):
@@ -190,11 +188,11 @@ ORACLES = {
     "q27_kind_by_stage": with_(TURNS, QUERY_TABLES, "a AS (SELECT 0 AS stage, users[-1] AS q FROM turns WHERE users[-1] IS NOT NULL UNION ALL SELECT least(loop_idx, 3), unnest(queries) FROM loops)", f"g AS (SELECT stage, {_KIND} AS kind, count(*) AS n FROM a GROUP BY 1, 2)", "s AS (SELECT stage, unnest(['fact', 'guide', 'news', 'other']) AS kind FROM (SELECT DISTINCT stage FROM g))") + "SELECT stage, kind, coalesce(n, 0) AS n, round(coalesce(n, 0) / sum(coalesce(n, 0)) OVER (PARTITION BY stage), 6) AS share FROM s LEFT JOIN g USING (stage, kind)",
     "q28_relation_sets": with_(QUERY_TABLES, f"k AS (SELECT DISTINCT row_id, {_KIND} AS k FROM queries)") + "SELECT kinds, size, count(*) AS n FROM (SELECT row_id, string_agg(k, '+' ORDER BY k) AS kinds, count(*) AS size FROM k GROUP BY 1) GROUP BY 1, 2",
     "q13_intent_share": with_(TURNS, "g AS (SELECT CASE WHEN coalesce(thoughts, '') = '' THEN 'none' WHEN contains(lower(thoughts), 'compare') THEN 'compare' WHEN contains(lower(thoughts), 'recent') THEN 'freshness' WHEN contains(lower(thoughts), 'search') THEN 'search' ELSE 'other' END AS intent, count(*) AS n FROM turns GROUP BY 1)", "s AS (SELECT unnest(['none', 'compare', 'freshness', 'search', 'other']) AS intent, unnest([0, 1, 2, 3, 4]) AS ord)") + "SELECT intent, ord, coalesce(n, 0) AS n, round(coalesce(n, 0) / sum(coalesce(n, 0)) OVER (), 6) AS share FROM s LEFT JOIN g USING (intent)",
-    "q18_provenance_by_month": with_(TURNS, QUERY_TABLES, f"q AS (SELECT DISTINCT row_id, unnest({_TOK.format('q')}) AS w FROM queries)") + f"SELECT strftime(month, '%Y-%m') AS month, count(*) AS words, round(avg(list_contains({_TOK.format('users[-1]')}, w)::INT), 6) AS user_rate FROM q JOIN turns USING (row_id) WHERE month IS NOT NULL GROUP BY 1",
-    "q19_one_loop_check": with_(QUERY_TABLES, SOURCES.split(",\n", 2)[2], "l AS (SELECT row_id, max(pos) AS p FROM loops GROUP BY 1 HAVING count(*) = 1)") + "SELECT count(*) AS one_loop, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM retrieved r WHERE r.row_id = l.row_id AND r.pos < l.p)) AS results_before FROM l",
+    "q18_provenance_by_month": with_(TURNS, QUERY_TABLES, CONTEXT, PROVENANCE, formulation._FACTOR_SQL, "k AS (SELECT row_id, " + ", ".join(f"round(len({x}) / words, 6) AS {x}" for x in formulation.FACTORS) + " FROM factor WHERE words > 0)") + "SELECT strftime(month, '%Y-%m') AS month, count(*) AS n, " + ", ".join(f"round(avg(k.{x}), 5) AS {x}" for x in formulation.FACTORS) + " FROM k JOIN turns USING (row_id) WHERE month IS NOT NULL GROUP BY 1",
+    "q19_one_loop_check": with_(TURNS, QUERY_TABLES, CONTEXT, PROVENANCE) + "SELECT count(*) AS one_loop, count(*) FILTER (WHERE len(sources) > 0) AS with_sources, count(*) FILTER (WHERE len(source_words) > 0) AS drawing_on_them, sum(len(source_words))::BIGINT AS words FROM context JOIN origin USING (row_id) WHERE n_loops = 1",
     "q37_safe_against_rest": with_(TURNS, SOURCES, "k AS (SELECT row_id, key, bool_or(kind = 'safe') AS safe FROM source_keys WHERE kind IN ('retrieved', 'safe') GROUP BY 1, 2)") + "SELECT strftime(month, '%Y-%m') AS month, safe, count(*) AS n, round(avg((regexp_matches(key, '^https?://') AND NOT contains(key, 'harbour-desk.'))::INT), 6) AS alive FROM k JOIN turns USING (row_id) WHERE month IS NOT NULL GROUP BY 1, 2",
     "q43_rank_by_kind": with_(SOURCES, "c AS (SELECT DISTINCT row_id, " + KEY.format("url") + " AS key FROM cited)", "r AS (SELECT r.row_id, ref_index + 1 AS rank, c.key IS NOT NULL AS c FROM retrieved r LEFT JOIN c ON c.row_id = r.row_id AND c.key = " + KEY.format("r.url") + " WHERE ref_index >= 0)", "g AS (SELECT row_id, avg(rank) FILTER (WHERE c) AS a, avg(rank) FILTER (WHERE NOT c) AS b FROM r GROUP BY 1)") + "SELECT count(*) AS n, round(avg(a), 6) AS cited, round(avg(b), 6) AS other, count(*) FILTER (WHERE a < b) AS cited_better FROM g WHERE a IS NOT NULL AND b IS NOT NULL",
-    "q47_support_by_kind": with_(TURNS, SOURCES.replace("ev ->> '$.title' AS title,", "ev ->> '$.title' AS title, ev ->> '$.snippet' AS snippet,").replace("e, ev ->> '$.url', ev ->> '$.title',", "e, ev ->> '$.url', ev ->> '$.title', ev ->> '$.snippet',"), "c AS (SELECT DISTINCT row_id, " + KEY.format("url") + " AS key FROM cited)", "r AS (SELECT DISTINCT row_id, " + KEY.format("url") + " AS key, snippet FROM retrieved WHERE snippet <> '')", f"a AS (SELECT row_id, list_distinct({_TOK.format('answers[-1]')}) AS a FROM turns)") + f"SELECT c.key IS NOT NULL AS cited, count(*) AS n, round(avg(len(list_filter(a, lambda x: list_contains({_TOK.format('snippet')}, x))) / len(a)), 6) AS share FROM r JOIN a USING (row_id) LEFT JOIN c ON c.row_id = r.row_id AND c.key = r.key WHERE len(a) > 0 GROUP BY 1",
+    "q47_support_by_kind": with_(TURNS, SOURCES, "c AS (SELECT DISTINCT row_id, " + KEY.format("url") + " AS key FROM cited)", "r AS (SELECT DISTINCT row_id, " + KEY.format("url") + " AS key, snippet FROM retrieved WHERE snippet <> '')", f"a AS (SELECT row_id, list_distinct({_TOK.format('answers[-1]')}) AS a FROM turns)") + f"SELECT c.key IS NOT NULL AS cited, count(*) AS n, round(avg(len(list_filter(a, lambda x: list_contains({_TOK.format('snippet')}, x))) / len(a)), 6) AS share FROM r JOIN a USING (row_id) LEFT JOIN c ON c.row_id = r.row_id AND c.key = r.key WHERE len(a) > 0 GROUP BY 1",
     "q50_turn_export": PATH_SQL + "SELECT conv_id, turn_no, arg_max(msg_id, depth) AS turn_id, count(*) AS messages, count(*) FILTER (WHERE role IN ('assistant', 'bot') AND coalesce(recipient, 'all') <> 'all' AND create_time <> 0) AS tool_calls, string_agg(role || ':' || coalesce(recipient, 'all'), ',' ORDER BY depth) AS interactions FROM (SELECT *, coalesce(sum(coalesce(end_turn, false)::INT) OVER (PARTITION BY conv_id ORDER BY depth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS turn_no FROM path WHERE role <> 'system') GROUP BY 1, 2 HAVING bool_or(coalesce(end_turn, false))",
     "f33_markup_regex": "SELECT doc_id, length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '<[^<>]*>', ' ', 'g'), '&[a-z]+;', ' ', 'g'), '[ \\t\\n]+', ' ', 'g'), '^ +| +$', '', 'g')) AS chars FROM documents WHERE text IS NOT NULL",
     "o04_top_users": with_(TURNS) + "SELECT user_id, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM turns WHERE user_id IS NOT NULL GROUP BY 1 ORDER BY n DESC, user_id LIMIT 10",

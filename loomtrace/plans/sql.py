@@ -34,6 +34,53 @@ query_lists AS (SELECT row_id, pos, list_filter(list_concat(coalesce(list_transf
 queries AS (SELECT DISTINCT row_id, pos, unnest(qs) AS q FROM query_lists),
 loops AS (SELECT row_id, pos, count(*) AS n_queries, list_sort(list(q)) AS queries, row_number() OVER (PARTITION BY row_id ORDER BY pos) AS loop_idx FROM queries GROUP BY row_id, pos)"""
 )
+#: What every search loop stands on: needs QUERIES.
+CONTEXT = (
+    """told AS (SELECT row_id, pos,
+  CASE WHEN (m ->> '$.content.content_type') = 'thoughts' THEN list_transform("""
+    + as_list("(m -> '$.content.thoughts')")
+    + """, lambda x: coalesce(x ->> '$.content', '')) ELSE [] END AS t,
+  list_concat(coalesce(flatten(list_transform("""
+    + as_list("(m -> '$.metadata.search_result_groups')")
+    + """, lambda g: list_transform("""
+    + as_list("(g -> '$.entries')")
+    + """, lambda x: coalesce(x ->> '$.title', '') || chr(10) || coalesce(g ->> '$.domain', '') || chr(10) || coalesce(x ->> '$.snippet', '')))), []),
+   coalesce(list_transform("""
+    + as_list("(m -> '$.metadata.image_results')")
+    + """, lambda x: coalesce(x ->> '$.title', '') || chr(10) || chr(10) || coalesce(x ->> '$.snippet', '')), [])) AS s,
+  CASE WHEN trim(coalesce(m ->> '$.metadata.user_context_message_data.about_user_message', '')) <> '' THEN [m ->> '$.metadata.user_context_message_data.about_user_message'] ELSE [] END AS mem
+ FROM msgs),
+told_loop AS (SELECT told.*, coalesce(sum((l.row_id IS NOT NULL)::INT) OVER (PARTITION BY told.row_id ORDER BY told.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS loop_idx FROM told LEFT JOIN loops l ON l.row_id = told.row_id AND l.pos = told.pos),
+context AS (SELECT a.row_id, a.loop_idx::INT AS loop_idx, any_value(l.queries) AS queries, coalesce(flatten(list(a.t ORDER BY a.pos)), []) AS thoughts, flatten(list(a.s ORDER BY a.pos)) AS sources, flatten(list(a.mem ORDER BY a.pos)) AS memories
+ FROM told_loop a JOIN loops l ON l.row_id = a.row_id AND l.loop_idx = a.loop_idx GROUP BY 1, 2)"""
+)
+_TOK = "regexp_extract_all(lower(coalesce({0}, '')), '(\\p{{L}}+|\\d+)')"
+
+
+def words_of(lists: str) -> str:
+    """Distinct words of a list of texts."""
+    return f"list_distinct(flatten(list_transform({lists}, lambda y: {_TOK.format('y')})))"
+
+
+#: Where the words of each loop's queries come from, and per turn: needs TURNS, QUERIES and CONTEXT.
+PROVENANCE = (
+    "bag AS (SELECT row_id, loop_idx, "
+    + words_of("queries")
+    + " AS w, "
+    + words_of("memories")
+    + " AS mw, "
+    + words_of("sources")
+    + " AS sw, list_distinct("
+    + _TOK.format("users[-1]")
+    + ") AS uw, "
+    + words_of("list_concat(coalesce(users[:-2], []), coalesce(answers, []))")
+    + """ AS hw FROM context JOIN turns USING (row_id)),
+tier AS (SELECT row_id, loop_idx, unnest(w) AS word, uw, hw, mw, sw FROM bag),
+placed AS (SELECT row_id, loop_idx, word, CASE WHEN list_contains(uw, word) THEN 'user' WHEN list_contains(hw, word) THEN 'history' WHEN list_contains(mw, word) THEN 'memories' WHEN list_contains(sw, word) THEN 'sources' ELSE 'model' END AS origin FROM tier),
+origin AS (SELECT row_id, max(loop_idx) AS n_loops, """
+    + ", ".join(f"coalesce(list(DISTINCT word) FILTER (WHERE origin = '{x}'), []) AS {y}" for x, y in (("user", "user_words"), ("history", "history_words"), ("memories", "memory_words"), ("sources", "source_words"), ("model", "model_words")))
+    + " FROM placed GROUP BY 1)"
+)
 _NO_UTM = "regexp_replace(regexp_replace(trim({0}), '\\?utm_source=chatgpt\\.com$', ''), '&utm_source=chatgpt\\.com$', '')"
 KEY = "regexp_replace(" + _NO_UTM + ", '/+$', '')"
 DOMAIN = "(SELECT CASE WHEN x LIKE '%.wikipedia.org' THEN 'wikipedia.org' ELSE x END FROM (SELECT regexp_replace(regexp_replace(lower(trim(replace(regexp_extract({0}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), 'www.', ''))), '\\.+$', ''), '^www\\.', '') AS x))"
@@ -48,8 +95,8 @@ SOURCES = (
     + unnest("images", "msgs", "row_id, pos", as_list("(m -> '$.metadata.image_results')"), "e", "ev")
     + """,
 retrieved AS (
- SELECT row_id, pos, g, e, ev ->> '$.url' AS url, ev ->> '$.title' AS title, (ev ->> '$.ref_id.turn_index')::INT AS turn_index, (ev ->> '$.ref_id.ref_index')::INT AS ref_index FROM entries WHERE ev ->> '$.url' <> ''
- UNION ALL SELECT row_id, pos, 1000000, e, ev ->> '$.url', ev ->> '$.title', NULL, e::INT FROM images WHERE ev ->> '$.url' <> ''),
+ SELECT row_id, pos, g, e, ev ->> '$.url' AS url, ev ->> '$.title' AS title, ev ->> '$.snippet' AS snippet, (ev ->> '$.ref_id.turn_index')::INT AS turn_index, (ev ->> '$.ref_id.ref_index')::INT AS ref_index FROM entries WHERE ev ->> '$.url' <> ''
+ UNION ALL SELECT row_id, pos, 1000000, e, ev ->> '$.url', ev ->> '$.title', ev ->> '$.snippet', NULL, e::INT FROM images WHERE ev ->> '$.url' <> ''),
 """
     + unnest("safe_all", "msgs", "row_id, pos", "CASE WHEN json_type(m -> '$.metadata.safe_urls') = 'ARRAY' THEN (m -> '$.metadata.safe_urls')::VARCHAR[] END", "e", "u")
     + ",\nsafe AS (SELECT row_id, pos, e, "
