@@ -93,3 +93,41 @@ def judged_json(c: Column) -> Column:
     """JSON object inside a judge's reply: the reply itself, else what stands from the first { to the last }."""
     whole = F.try_parse_json(c)
     return F.coalesce(F.when(F.schema_of_variant(whole).startswith("OBJECT"), whole), F.try_parse_json(F.nullif(F.regexp_extract(c, r"(?s)(\{.*\})", 1), F.lit(""))))
+
+
+def score_of(reply: Column) -> Column:
+    """Number of a judge's reply: the reply itself, or the ``Output`` (or ``score``) of JSON, which may be JSON text again."""
+    v = judged_json(reply)
+    inner = F.coalesce(F.try_variant_get(v, "$.Output", "string"), F.try_variant_get(v, "$.score", "string"))
+    again = F.coalesce(F.try_variant_get(F.try_parse_json(inner), "$.Output", "string"), F.try_variant_get(F.try_parse_json(inner), "$.score", "string"))
+    return valid_number(F.coalesce(to_number(reply), to_number(inner), to_number(again)))
+
+
+# Names of the user's prompt as an endpoint, and entailment labels.
+USER_ENDPOINTS = ("u", "user", "user_query", "user query", "user prompt")
+LABELS = ("entailment", "neutral", "contradiction")
+
+
+def endpoint(c: Column) -> Column:
+    """Endpoint of a transition: ``U`` for the prompt, else its id without brackets and spaces; a whole float loses its ``.0`` only alone."""
+    x = F.regexp_replace(F.lower(strip(c)), r"[()\[\]]", "")
+    bare = F.regexp_replace(x, r"\s+", "")
+    return F.when(strip(x).isin(*USER_ENDPOINTS), "U").when(bare != "", bare)
+
+
+def reason(c: Column) -> Column:
+    """Reason of a transition by what its label names, the first that fits: other, hybrid, expansion, rewriting."""
+    x = F.lower(F.coalesce(c, F.lit("")))
+    return F.when(x.contains("other"), "Other").when(x.contains("hybrid"), "Hybrid").when(x.contains("expansion"), "Expansion").when(x.rlike("rewrit(e|ing)"), "Rewriting").otherwise("Other")
+
+
+def valid_label(c: Column) -> Column:
+    """An entailment label, else null."""
+    x = F.lower(strip(c))
+    return F.when(x.isin(*LABELS), x)
+
+
+def shown(c: Column, names: dict[str, str]) -> Column:
+    """Display name of a category; others show as they are."""
+    pairs = [F.lit(v) for kv in names.items() for v in kv]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), c), c) if pairs else c

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from html.parser import HTMLParser
 
@@ -50,6 +51,16 @@ def citation_refs(c: Column) -> Column:
     )
 
 
+def percent(part: Column, whole: Column) -> Column:
+    """``12.5%`` with one digit, NA where the whole is nothing."""
+    return F.when(F.coalesce(whole, F.lit(0)) == 0, "NA").otherwise(F.format_string("%.1f%%", part * 100.0 / whole))
+
+
+def bracketed(n: Column) -> Column:
+    """A number rounded half to even to two digits, in brackets."""
+    return F.concat(F.lit("("), F.format_string("%.2f", F.bround(n, 2)), F.lit(")"))
+
+
 def refs_key(refs: Column) -> Column:
     return F.array_join(F.transform(refs, lambda r: F.concat_ws("::", r["turn_index"].cast("string"), r["ref_index"].cast("string"))), ";")
 
@@ -63,14 +74,15 @@ def file_part(c: Column) -> Column:
     return F.regexp_replace(c, r"[^A-Za-z0-9\-_.]", "_")
 
 
-def recent_within(history: Column, budget: int) -> Column:
+def recent_within(history: Column, budget: int | Column) -> Column:
     """Newest entries whose characters fit a budget of tokens (four characters each), in their order; the newest always stays."""
+    limit = budget if isinstance(budget, Column) else F.lit(budget)
     state = F.struct(F.lit(0).alias("used"), F.lit(False).alias("full"), F.array().cast("array<string>").alias("kept"))
 
     def step(a, x):
         cost = F.greatest(F.lit(1), F.floor(F.length(x) / 4)).cast("int")
-        over = a["full"] | ((a["used"] + cost > budget) & (F.size(a["kept"]) > 0))
-        text = F.when((F.size(a["kept"]) == 0) & (cost > budget), F.right(x, F.lit(4 * budget))).otherwise(x)
+        over = a["full"] | ((a["used"] + cost > limit) & (F.size(a["kept"]) > 0))
+        text = F.when((F.size(a["kept"]) == 0) & (cost > limit), F.right(x, (limit * 4).cast("int"))).otherwise(x)
         return F.struct(F.when(over, a["used"]).otherwise(a["used"] + cost).alias("used"), over.alias("full"), F.when(over, a["kept"]).otherwise(F.array_prepend(a["kept"], text)).alias("kept"))
 
     return F.aggregate(F.reverse(F.filter(history, lambda x: x.isNotNull())), state, step, lambda a: a["kept"])
@@ -133,6 +145,39 @@ def answer_chunks(c: pd.Series) -> pd.Series:
     return c.map(lambda t: [{"text": a, "refs": [{"turn_index": x, "ref_index": y} for x, y in r], "marks": m} for a, r, m in chunks(t)])
 
 
+def nested_text(value) -> str:
+    """Text of nested JSON: lists line by line, of an object its content, text or q, else all its values."""
+    lines, stack = [], [value]
+    while stack:
+        v = stack.pop()
+        if isinstance(v, str):
+            if v.strip():
+                lines.append(v.strip())
+        elif isinstance(v, bool) or v is None:
+            continue
+        elif isinstance(v, dict):
+            named = next((v[k] for k in ("content", "text", "q") if v.get(k)), None)
+            stack.extend([named] if named is not None else reversed(v.values()))
+        elif isinstance(v, (list, tuple)):
+            stack.extend(reversed(v))
+        else:
+            lines.append(str(v))
+    return "\n".join(lines)
+
+
+@F.pandas_udf(T.StringType())
+def json_text(c: pd.Series) -> pd.Series:
+    """``nested_text`` of JSON text; what is no JSON is itself the text, null is empty."""
+
+    def one(t: str | None) -> str:
+        try:
+            return nested_text(json.loads(t)) if t is not None else ""
+        except (ValueError, RecursionError):
+            return t.strip()
+
+    return c.map(one)
+
+
 class _Text(HTMLParser):
     SKIP = ("script", "style", "noscript", "template")
     INLINE = frozenset(("a", "abbr", "b", "cite", "code", "em", "font", "i", "mark", "small", "span", "strong", "sub", "sup", "u", *SKIP))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomtrace.functions import coerce, kernels
 from loomtrace.functions import text as X
 from loomtrace.operators import attribution, blocks, stats
+from loomtrace.plans.sql import CHUNKS, SENTENCES, with_
 from loomtrace.session import table
 
 MAX_TYPES = 64
@@ -261,6 +262,9 @@ def s12_reachable(spark, d):
 
 
 ORACLES = {
+    "f26_sentences": "SELECT doc_id, len(s)::INT AS n, md5(array_to_string(s, '|')) AS md5 FROM (SELECT doc_id, " + SENTENCES.format("text") + " AS s FROM documents WHERE text IS NOT NULL AND lang = 'en')",
+    "f29_chunks": with_(CHUNKS) + "SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE refs <> '') AS with_refs, sum(length(text))::BIGINT AS chars FROM chunk GROUP BY 1",
+    "w10_latest_claims": with_(CHUNKS, "n AS (SELECT doc_id, row_number() OVER w - 1 AS i, refs, lead(refs) OVER w AS after FROM chunk WINDOW w AS (PARTITION BY doc_id ORDER BY ord))") + "SELECT doc_id, i::INT AS i, refs FROM n WHERE refs <> '' AND after IS DISTINCT FROM refs",
     "a02_event_rate_by_day": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, round(avg((event_type = 'error')::INT), 6) AS rate FROM events GROUP BY 1",
     "a22_value_sem": "SELECT strftime(ts, '%Y-%m') AS month, event_type, count(*) AS n, round(avg(value), 4) AS mean, round(stddev_samp(value) / sqrt(count(value)), 4) AS sem FROM events GROUP BY 1, 2",
     "a05_region_rate": "SELECT r_name, count(*) AS n, round(avg((c_acctbal < 0)::INT), 6) AS rate FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1",

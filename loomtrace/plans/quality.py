@@ -16,7 +16,7 @@ from loomtrace.operators import attribution, blocks, threads
 from loomtrace.operators import messages as M
 from loomtrace.operators.stats import share_of_all
 from loomtrace.plans import formulation
-from loomtrace.plans.sql import CONTEXT, KEY, PROVENANCE, SOURCES, TURNS, with_
+from loomtrace.plans.sql import CONTEXT, KEY, OUTER_MARK, PROVENANCE, REFS, SOURCES, TURNS, with_
 from loomtrace.plans.sql import QUERIES as QUERY_TABLES
 from loomtrace.session import table
 
@@ -101,20 +101,6 @@ def q43_rank_by_kind(spark, d):
     return g.agg(F.count("*").alias("n"), F.round(F.avg("a"), 6).alias("cited"), F.round(F.avg("b"), 6).alias("other"), F.count_if(F.col("a") < F.col("b")).alias("cited_better"))
 
 
-def q48_attribution_by_platform(spark, d):
-    """Sources a turn cites by mark, cites otherwise or only retrieves: the bucket of its first source on a gazette host."""
-    cols = ["row_id", "source", "tier", "pos", "entailed"]
-    ent = F.col("url").contains("gazette")
-    c = M.cited(_raw(spark, d)).select("row_id", urls.match_key(F.col("url")).alias("source"), F.when(F.col("turn_index").isNotNull(), 1).otherwise(2).alias("tier"), (F.col("pos") * 10_000 + F.col("g")).alias("pos"), ent.alias("entailed"))
-    r = M.retrieved(_raw(spark, d)).select("row_id", urls.match_key(F.col("url")).alias("source"), F.lit(3).alias("tier"), (F.col("pos") * 10_000 + F.col("e")).alias("pos"), ent.alias("entailed"))
-    every = c.select(cols).unionByName(r.select(cols)).groupBy("row_id", "source", "tier", "pos").agg(F.bool_or("entailed").alias("entailed"))
-    a = attribution.cascade(every, ["row_id"]).join(_turns(spark, d).select("row_id", "platform"), "row_id")
-    g = a.groupBy("platform", "bucket").agg(F.count("*").alias("n"))
-    spine = g.select("platform").distinct().withColumn("bucket", F.explode(F.array(*[F.lit(b) for b in (*attribution.TIERS, attribution.NONE)])))
-    j = spine.join(g, ["platform", "bucket"], "left").na.fill(0, ["n"])
-    return j.withColumn("rate", F.round(F.col("n") / F.sum("n").over(W.partitionBy("platform")), 6))
-
-
 def q47_support_by_kind(spark, d):
     """Words of the last answer found in a turn's snippets: mean share for cited and for other retrieved sources."""
     a = _turns(spark, d).select("row_id", F.array_distinct(X.tokens(F.try_element_at("answers", F.lit(-1)))).alias("a")).filter(F.size("a") > 0)
@@ -194,6 +180,7 @@ ORACLES = {
     "q43_rank_by_kind": with_(SOURCES, "c AS (SELECT DISTINCT row_id, " + KEY.format("url") + " AS key FROM cited)", "r AS (SELECT r.row_id, ref_index + 1 AS rank, c.key IS NOT NULL AS c FROM retrieved r LEFT JOIN c ON c.row_id = r.row_id AND c.key = " + KEY.format("r.url") + " WHERE ref_index >= 0)", "g AS (SELECT row_id, avg(rank) FILTER (WHERE c) AS a, avg(rank) FILTER (WHERE NOT c) AS b FROM r GROUP BY 1)") + "SELECT count(*) AS n, round(avg(a), 6) AS cited, round(avg(b), 6) AS other, count(*) FILTER (WHERE a < b) AS cited_better FROM g WHERE a IS NOT NULL AND b IS NOT NULL",
     "q47_support_by_kind": with_(TURNS, SOURCES, "c AS (SELECT DISTINCT row_id, " + KEY.format("url") + " AS key FROM cited)", "r AS (SELECT DISTINCT row_id, " + KEY.format("url") + " AS key, snippet FROM retrieved WHERE snippet <> '')", f"a AS (SELECT row_id, list_distinct({_TOK.format('answers[-1]')}) AS a FROM turns)") + f"SELECT c.key IS NOT NULL AS cited, count(*) AS n, round(avg(len(list_filter(a, lambda x: list_contains({_TOK.format('snippet')}, x))) / len(a)), 6) AS share FROM r JOIN a USING (row_id) LEFT JOIN c ON c.row_id = r.row_id AND c.key = r.key WHERE len(a) > 0 GROUP BY 1",
     "q50_turn_export": PATH_SQL + "SELECT conv_id, turn_no, arg_max(msg_id, depth) AS turn_id, count(*) AS messages, count(*) FILTER (WHERE role IN ('assistant', 'bot') AND coalesce(recipient, 'all') <> 'all' AND create_time <> 0) AS tool_calls, string_agg(role || ':' || coalesce(recipient, 'all'), ',' ORDER BY depth) AS interactions FROM (SELECT *, coalesce(sum(coalesce(end_turn, false)::INT) OVER (PARTITION BY conv_id ORDER BY depth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS turn_no FROM path WHERE role <> 'system') GROUP BY 1, 2 HAVING bool_or(coalesce(end_turn, false))",
+    "f25_citation_marks": "SELECT doc_id, len(marks)::INT AS marks, array_to_string(" + REFS.format("marks[1]") + ", ';') AS refs FROM (SELECT doc_id, regexp_extract_all(text, '" + OUTER_MARK + "') AS marks FROM documents) WHERE len(marks) > 0",
     "f33_markup_regex": "SELECT doc_id, length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '<[^<>]*>', ' ', 'g'), '&[a-z]+;', ' ', 'g'), '[ \\t\\n]+', ' ', 'g'), '^ +| +$', '', 'g')) AS chars FROM documents WHERE text IS NOT NULL",
     "o04_top_users": with_(TURNS) + "SELECT user_id, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM turns WHERE user_id IS NOT NULL GROUP BY 1 ORDER BY n DESC, user_id LIMIT 10",
     "j11_query_lookup": with_(TURNS, QUERY_TABLES, "t AS (SELECT conv_id, turn_id, row_id, (SELECT count(*) FROM queries q WHERE q.row_id = turns.row_id) AS n FROM turns WHERE conv_id IS NOT NULL AND turn_id IS NOT NULL)") + "SELECT conv_id, turn_id, arg_max(row_id, (n, -row_id)) AS row_id, count(*) AS rows FROM t GROUP BY 1, 2 HAVING count(*) > 1",
@@ -201,7 +188,7 @@ ORACLES = {
 QUERIES = {
     f.__name__: f
     for f in (
-        q27_kind_by_stage, q28_relation_sets, q13_intent_share, q18_provenance_by_month, q19_one_loop_check, q37_safe_against_rest, q43_rank_by_kind, q48_attribution_by_platform, q47_support_by_kind, q50_turn_export,
+        q27_kind_by_stage, q28_relation_sets, q13_intent_share, q18_provenance_by_month, q19_one_loop_check, q37_safe_against_rest, q43_rank_by_kind, q47_support_by_kind, q50_turn_export,
         f33_markup_regex, f25_citation_marks, o04_top_users, j11_query_lookup,
     )
 }

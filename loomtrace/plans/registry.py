@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from loomtrace.plans import decisions, formulation, panels, quality, replays, sources, streams, training
+from loomtrace.plans import decisions, formulation, panels, quality, replays, sources, streams, support, training, triggers
 
 FLAGSHIP = "q01_tool_rate_by_month"
-_MODULES = (decisions, formulation, sources, quality, replays, panels, streams, training)
+_MODULES = (decisions, formulation, sources, quality, support, triggers, replays, panels, streams, training)
 
 
 def queries() -> dict:

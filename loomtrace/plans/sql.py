@@ -134,6 +134,22 @@ url_sets AS (SELECT row_id, coalesce(list(key) FILTER (WHERE kind = 'retrieved')
 )
 
 
+#: A whole citation mark, and the sentences of a text by a sign set in place of each gap, as SQL has no look-around.
+OUTER_MARK = "\ue200[^\ue201]*\ue202[A-Za-z]+\\d+[A-Za-z]+\\d+(?:\ue202[^\ue201]*)?\ue201"
+SENTENCES = "list_filter(list_transform(string_split(regexp_replace(coalesce({0}, ''), '([.!?])[ \\t\\n\\x0B\\f\\r]+([`''*_\"(\\[]*[A-Z0-9])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda s: regexp_replace(regexp_replace(s, '^[ \\-*\\t\\n]+', ''), '[ \\-*\\t\\n]+$', '')), lambda s: length(s) >= 8 AND regexp_matches(s, '\\p{{L}}'))"
+REFS = "list_transform(list_filter(string_split(replace({0}, chr(57857), ''), chr(57858)), lambda x: regexp_full_match(x, '[A-Za-z]+\\d+[A-Za-z]+\\d+')), lambda x: regexp_extract(x, '^[A-Za-z]+(\\d+)', 1)::INT || '::' || regexp_extract(x, '(\\d+)$', 1)::INT)"
+#: Pieces of answers that citation marks close: (doc_id, ord, text, refs).
+CHUNKS = (
+    "answer AS (SELECT doc_id, text, string_split(regexp_replace(text, '" + OUTER_MARK + "', chr(2), 'g'), chr(2)) AS seg, regexp_extract_all(text, '" + OUTER_MARK + "') AS marks FROM documents WHERE doc_kind = 'answer' AND text IS NOT NULL),\n"
+    "segment AS (SELECT doc_id, i, " + SENTENCES.format("s") + " AS said, mark FROM (SELECT doc_id, generate_subscripts(seg, 1) AS i, unnest(seg) AS s, unnest(list_concat(marks, [NULL])) AS mark FROM answer)),\n"
+    "grouped AS (SELECT *, sum((len(said) > 0)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS grp FROM segment WHERE mark IS NOT NULL),\n"
+    "ref AS (SELECT doc_id, grp, i, generate_subscripts(r, 1) AS j, unnest(r) AS r, row_number() OVER () AS _ FROM (SELECT doc_id, grp, i, " + REFS.format("mark") + " AS r FROM grouped WHERE grp > 0)),\n"
+    "ref_once AS (SELECT *, row_number() OVER (PARTITION BY doc_id, grp, r ORDER BY i, j) AS k, min(i) OVER (PARTITION BY doc_id, grp) AS first FROM ref),\n"
+    "marked_chunk AS (SELECT g.doc_id, g.i AS ord, array_to_string(g.said, ' ') AS text, (SELECT string_agg(r, ';' ORDER BY i, j) FROM ref_once o WHERE o.doc_id = g.doc_id AND o.grp = g.grp AND (o.k = 1 OR o.i = o.first)) AS refs FROM grouped g WHERE len(g.said) > 0),\n"
+    "tail AS (SELECT doc_id, i + generate_subscripts(said, 1) AS ord, unnest(said) AS text, '' AS refs FROM segment WHERE mark IS NULL),\n"
+    "found AS (SELECT * FROM marked_chunk UNION ALL SELECT * FROM tail),\n"
+    "chunk AS (SELECT * FROM found UNION ALL SELECT doc_id, generate_subscripts(s, 1), unnest(s), '' FROM (SELECT doc_id, " + SENTENCES.format("text") + " AS s FROM answer WHERE doc_id NOT IN (SELECT doc_id FROM found)))"
+)
 TURN_SETS = """turn_sets AS (SELECT turns.*, coalesce(retrieved, []) AS retrieved, coalesce(safe, []) AS safe, coalesce(cited, []) AS cited FROM turns LEFT JOIN url_sets USING (row_id))"""
 
 
