@@ -37,7 +37,7 @@ def token_estimate(c: Column, per: int = 3) -> Column:
 
 def sentences(c: Column) -> Column:
     """Sentences of at least eight characters with a letter."""
-    cut = F.transform(F.split(F.coalesce(c, F.lit("")), SENTENCE_GAP), lambda s: F.regexp_replace(s, r"^[ \-*\t\n]+|[ \-*\t\n]+$", ""))
+    cut = F.transform(F.split(F.coalesce(c, F.lit("")), SENTENCE_GAP), lambda s: F.regexp_replace(s, r"^[ \-*\t\n]+|[ \-*\t\n]+\z", ""))
     return F.filter(cut, lambda s: (F.length(s) >= 8) & s.rlike(r"\p{L}"))
 
 

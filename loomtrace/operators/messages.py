@@ -109,10 +109,13 @@ def loop_context(raw: DataFrame) -> DataFrame:
         parts = ", ".join(f"coalesce({x}, '')" for x in (f"try_variant_get({v}, '$.title', 'string')", host, f"try_variant_get({v}, '$.snippet', 'string')"))
         return f"concat_ws('\\n', {parts})"
 
+    def objects(sql: str) -> str:
+        return f"filter({sql}, x -> schema_of_variant(x) LIKE 'OBJECT%')"
+
     host = "try_variant_get(g, '$.domain', 'string')"
-    groups = f"flatten(filter(transform({list_sql('m', 'metadata.search_result_groups')}, g -> transform({list_sql('g', 'entries')}, x -> {described('x', host)})), l -> l IS NOT NULL))"
+    groups = f"flatten(filter(transform({list_sql('m', 'metadata.search_result_groups')}, g -> transform({objects(list_sql('g', 'entries'))}, x -> {described('x', host)})), l -> l IS NOT NULL))"
     no_text = "''"
-    images = f"transform({list_sql('m', 'metadata.image_results')}, x -> {described('x', no_text)})"
+    images = f"transform({objects(list_sql('m', 'metadata.image_results'))}, x -> {described('x', no_text)})"
     thoughts = f"CASE WHEN try_variant_get(m, '$.content.content_type', 'string') = 'thoughts' THEN transform({list_sql('m', 'content.thoughts')}, x -> coalesce(try_variant_get(x, '$.content', 'string'), '')) END"
     memory = field("m", "metadata.user_context_message_data.about_user_message")
     parts = messages(raw).select(

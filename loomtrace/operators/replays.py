@@ -101,7 +101,7 @@ def agreement(table: DataFrame, anchor: str, others: list[str]) -> DataFrame:
 def query_groups(response: Column) -> Column:
     """Search loops of a replayed response (JSON): the distinct queries of each web search call that has any."""
     calls = F.filter(F.try_variant_get(F.try_parse_json(response), "$.output", "array<variant>"), lambda x: F.try_variant_get(x, "$.type", "string") == "web_search_call")
-    asked = F.transform(calls, lambda x: F.array_distinct(F.filter(F.transform(F.coalesce(F.try_variant_get(x, "$.action.queries", "array<string>"), F.array().cast("array<string>")), F.trim), lambda q: q != "")))
+    asked = F.transform(calls, lambda x: F.array_distinct(F.filter(F.transform(F.coalesce(F.try_variant_get(x, "$.action.queries", "array<string>"), F.array().cast("array<string>")), lambda q: F.trim(q)), lambda q: q != "")))
     return F.coalesce(F.filter(asked, lambda q: F.size(q) > 0), F.array().cast("array<array<string>>"))
 
 

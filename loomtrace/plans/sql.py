@@ -42,12 +42,12 @@ CONTEXT = (
     + """, lambda x: coalesce(x ->> '$.content', '')) ELSE [] END AS t,
   list_concat(coalesce(flatten(list_transform("""
     + as_list("(m -> '$.metadata.search_result_groups')")
-    + """, lambda g: list_transform("""
+    + """, lambda g: list_transform(list_filter("""
     + as_list("(g -> '$.entries')")
-    + """, lambda x: coalesce(x ->> '$.title', '') || chr(10) || coalesce(g ->> '$.domain', '') || chr(10) || coalesce(x ->> '$.snippet', '')))), []),
-   coalesce(list_transform("""
+    + """, lambda x: json_type(x) = 'OBJECT'), lambda x: coalesce(x ->> '$.title', '') || chr(10) || coalesce(g ->> '$.domain', '') || chr(10) || coalesce(x ->> '$.snippet', '')))), []),
+   coalesce(list_transform(list_filter("""
     + as_list("(m -> '$.metadata.image_results')")
-    + """, lambda x: coalesce(x ->> '$.title', '') || chr(10) || chr(10) || coalesce(x ->> '$.snippet', '')), [])) AS s,
+    + """, lambda x: json_type(x) = 'OBJECT'), lambda x: coalesce(x ->> '$.title', '') || chr(10) || chr(10) || coalesce(x ->> '$.snippet', '')), [])) AS s,
   CASE WHEN trim(coalesce(m ->> '$.metadata.user_context_message_data.about_user_message', '')) <> '' THEN [m ->> '$.metadata.user_context_message_data.about_user_message'] ELSE [] END AS mem
  FROM msgs),
 told_loop AS (SELECT told.*, coalesce(sum((l.row_id IS NOT NULL)::INT) OVER (PARTITION BY told.row_id ORDER BY told.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS loop_idx FROM told LEFT JOIN loops l ON l.row_id = told.row_id AND l.pos = told.pos),

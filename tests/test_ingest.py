@@ -77,12 +77,31 @@ def test_adapters(spark):
             raise ValueError
         return "new"
 
-    assert {r.prompt: r.answer for r in adapters.ask(d, "prompt", answer, store).collect()} == {"p": "known", "bad": None}
+    assert {r.prompt: (r.answer, r.status) for r in adapters.ask(d, "prompt", answer, store).collect()} == {"p": ("known", "stored"), "bad": (None, "failed: ValueError")}
     assert adapters.stub_judge("x") == adapters.stub_judge("x") and adapters.stub_entailment("a b c\ta b") == "entailment"
     plan = adapters.replay_plan(spark.createDataFrame([("s", "c", "t", "p1"), ("s", "c", "t", "p2")], "source string, conv_id string, turn_id string, prompt string"))
     assert plan.count() == 6 and plan.select("result_key").distinct().count() == 2
 
 
+def test_resumed_pages_and_reachability(spark, tmp_path):
+    path, calls = str(tmp_path / "store"), spark.sparkContext.accumulator(0)
+
+    def fetch(url):
+        calls.add(1)
+        return f"text of {url}"
+
+    one = spark.createDataFrame([("a",), ("b",)], "url string")
+    assert {r.url: r.answer for r in adapters.resumed(one, "url", fetch, path).collect()} == {"a": "text of a", "b": "text of b"} and calls.value == 2
+    more = one.unionByName(spark.createDataFrame([("c",), (None,)], "url string"))
+    assert adapters.resumed(more, "url", fetch, path).count() == 3 and calls.value == 3
+    steps = [(lambda u: u.startswith("w"), lambda u: None), (lambda u: True, lambda u: u.upper() if u != "n" else None)]
+    got = adapters.page_cascade(spark.createDataFrame([("wx",), ("n",)], "url string"), "url", steps)
+    assert {r.url: (r.answer, r.status) for r in got.collect()} == {"wx": ("WX", "ok"), "n": (None, "empty")}
+    urls = spark.createDataFrame([("a.org/x",), ("https://b.org",), ("https://c.org",), ("no host",), (None,)], "url string")
+    status = spark.createDataFrame([("https://a.org/x", 403), ("https://b.org", 404)], "url string, status int")
+    assert {r.url: r.alive for r in adapters.reachable(urls, status).collect()} == {"a.org/x": True, "https://b.org": False, "https://c.org": False, "no host": False}
+
+
 def test_stream(spark, tmp_path, data):
     e = spark.read.parquet(f"{data}/events.parquet")
     e.write.parquet(str(tmp_path / "in"))
