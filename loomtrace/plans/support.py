@@ -39,10 +39,10 @@ def j08_attributed_sentences(spark, d):
 
 
 def _modes(spark, d):
-    """Sentences under both readings: every one, and the last of each run of equal refs."""
-    every = _attributed(spark, d)
-    last = A.latest_claims(every.withColumn("ref", F.coalesce("ref", F.lit(""))), "row_id", "chunk", "ref")
-    return every.withColumn("mode", F.lit("all")).unionByName(last.withColumn("mode", F.lit("latest")))
+    """Sentences under both readings: every one, and the last of each run of equal refs (sentences without ref break runs and are left out)."""
+    every = _attributed(spark, d).withColumn("after", F.lead("ref").over(W.partitionBy("row_id").orderBy("chunk")))
+    latest = F.when(F.col("ref").isNotNull() & ~F.col("ref").eqNullSafe(F.col("after")), F.lit("latest"))
+    return every.withColumn("mode", F.explode(F.array_compact(F.array(F.lit("all"), latest))))
 
 
 def q48_attribution_by_platform(spark, d):
